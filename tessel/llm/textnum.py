@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -50,7 +51,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 1 << 21)
     if not batch.num_rows:
         return
     col = batch.column(text)
-    lengths = np.nan_to_num(np.asarray(pa.compute.binary_length(col).cast(pa.float64()).to_numpy(zero_copy_only=False)))
+    lengths = np.nan_to_num(np.asarray(pc.binary_length(col).cast(pa.float64()).to_numpy(zero_copy_only=False)))
     ends = np.cumsum(lengths)
     start = 0
     while start < batch.num_rows:
@@ -63,7 +64,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 1 << 21)
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
