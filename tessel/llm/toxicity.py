@@ -74,12 +74,16 @@ def word_keys(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
 
 def distinct_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the distinct words and prefixes of each row."""
-    hashes, rows = (np.concatenate(x) for x in zip(*word_keys(*N.utf8(column)), strict=True))
-    order = np.lexsort((hashes, rows))
-    hashes, rows = hashes[order], rows[order]
-    keep = np.ones(len(hashes), bool)
-    keep[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-    return hashes[keep], rows[keep]
+    parts, first = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for part in N.slices(pa.record_batch([column], ["text"]), max_bytes=1 << 20):
+        hashes, rows = (np.concatenate(x) for x in zip(*word_keys(*N.utf8(part.column(0))), strict=True))
+        order = np.lexsort((hashes, rows))
+        hashes, rows = hashes[order], rows[order]
+        keep = np.ones(len(hashes), bool)
+        keep[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+        parts.append((hashes[keep], rows[keep] + first))
+        first += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def swap_pairs(texts: Sequence[str], groups: Sequence[Sequence[str]], max_pairs: int, seed: int = 7) -> list[tuple[str, str]]:
