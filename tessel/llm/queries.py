@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sentencepiece_codec, toxicity
+from . import line_templates, quality, sentencepiece_codec, toxicity
 from .common import held_out_bucket, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,9 +42,19 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    done = line_templates.drop_recurring_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_lines", "dropped_lines", F.length("text").cast("long").alias("kept_chars"),
+        F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"), "text",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_quality": op5_quality,
+    "op7_line_templates": op7_line_templates,
     "op9_toxicity": op9_toxicity,
 }
 
