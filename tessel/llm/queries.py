@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, quality, sentencepiece_codec, toxicity
+from . import decontaminate, line_templates, quality, sentencepiece_codec, toxicity
 from .common import held_out_bucket, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,10 +51,16 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, with its edit distance."""
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_quality": op5_quality,
     "op7_line_templates": op7_line_templates,
+    "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
 }
 

@@ -26,7 +26,7 @@ BYTE_CODE = (np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95)) ^ U64(0x254
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser with full avalanche (uint64 in, uint64 out)."""
     x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
+    x *= U64(0xBF58476D1CE4E5B9)
     x ^= x >> U64(27)
     x *= U64(0x94D049BB133111EB)
     x ^= x >> U64(31)
@@ -77,17 +77,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE)
     if not n:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    inside = ~space[data]
+    blank = space.take(data)
     first = np.zeros(n + 1, bool)
-    first[offsets[:-1]] = True
-    before = np.zeros(n, bool)
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | first[:n]))
-    after = np.zeros(n, bool)
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-    rows = np.searchsorted(offsets, starts, "right") - 1
-    return starts, ends, rows
+    first[offsets] = True
+    edge = first[1:].copy()  # the byte ends a word if the next is blank or another row's
+    edge[:-1] |= blank[1:]
+    edge &= ~blank
+    ends = np.flatnonzero(edge) + 1
+    edge = first[:-1]
+    edge[1:] |= blank[:-1]
+    edge &= ~blank
+    starts = np.flatnonzero(edge)
+    counts = np.diff(np.searchsorted(starts, offsets))
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), counts)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
