@@ -7,12 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_templates, quality, sentencepiece_codec, toxicity
-from .common import held_out_bucket, load
+from . import decontaminate, jaccard_join, line_templates, quality, secrets, sentencepiece_codec, toxicity, warc_fixity
+from .common import held_out_bucket, load, materialize
+from .sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def replica_of(index: DataFrame) -> DataFrame:
+    """A second copy of the archives with known faults, by page id: altered, lost, added."""
+    place = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(500))
+    kept = index.where(place != 77).select(
+        "archive", "offset", F.when(place == 3, F.sha2(F.concat("leaf", F.lit("x")), 256)).otherwise(F.col("leaf")).alias("leaf")
+    )
+    added = index.where(place == 200).select("archive", (F.col("offset") + 1).alias("offset"), "leaf")
+    return kept.unionByName(added)
+
+
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every WARC record of ``pages`` with what the audit of a damaged replica says of it."""
+    index = materialize(warc_fixity.archive_index(load(spark, sf_dir, "pages")), "warc-index")
+    return warc_fixity.audit(index, replica_of(index)).select(
+        "page_id", "archive", "offset", "length", F.col("leaf").alias("record_sha256"), F.col("other").alias("found_sha256"), "status"
+    )
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text: base patterns, and tokens that the models call random."""
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.find_secrets(load(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    kinds = F.transform("secrets", lambda s: s["kind"])
+    n = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in range(4)]
+    return found.select(
+        "doc_id", n[0].alias("n_assign"), n[1].alias("n_access"), n[2].alias("n_hex"),
+        F.sha2(secrets.described(base), 256).alias("base_sha256"), secrets.described(F.col("secrets")).alias("spans"),
+        n[3].alias("n_random"),
+    )
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and component of every document (3 words, 90 of 100)."""
+    return jaccard_join.components(load(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, with the check that they decode to it."""
     return sentencepiece_codec.round_trip(load(spark, sf_dir, "documents"))
@@ -57,11 +95,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc_fixity": op1_warc_fixity,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_secrets": op3_secrets,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_quality": op5_quality,
     "op7_line_templates": op7_line_templates,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
 }
-
-SQL: dict[str, str] = {}
