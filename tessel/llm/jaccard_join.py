@@ -16,8 +16,9 @@ documents) nor the boundary changes the result.
 
 Equal sets are one node. Lists are linked without enumerating the pairs of a group: first
 every member with the least member of its list (``star_rounds`` times, by another order
-each time), then only pairs across components that still meet in a list. Each proposed pair
-is verified on the whole sets. What is left out are pairs already in one component, which
+each time), then only pairs across components that still meet in a list. A proposed pair
+whose element counts by bucket rule out the overlap is dropped (the sum of the lesser counts
+bounds the overlap from above); every other pair is verified on the whole sets. What is left out are pairs already in one component, which
 cannot change the components.
 
 Rows with a null doc_id keep it; their component is the least doc_id that is known in it.
@@ -42,6 +43,8 @@ SKETCH_BITS = 20
 SKETCH_PARTS = 64
 SAMPLE_A_TASK = 32
 COST_SAMPLE = 2000
+HISTOGRAM = 128
+FILTER_BITS = 23
 U64 = np.uint64
 
 
@@ -56,6 +59,14 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return N.mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(U64)).view(np.int64)
 
 
+def histograms(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Each row's element counts by HISTOGRAM buckets as 16-bit numbers; 65535 is any number."""
+    rows = len(offsets) - 1
+    place = np.repeat(np.arange(rows), np.diff(offsets)) * HISTOGRAM + ((values >> U64(20)) % U64(HISTOGRAM)).astype(np.int64)
+    counts = np.bincount(place, minlength=rows * HISTOGRAM).reshape(rows, HISTOGRAM)
+    return [row.tobytes() for row in np.minimum(counts, 65535).astype(np.uint16)]
+
+
 def _fill(n: int, kind: pa.DataType) -> pa.Array:
     return pa.nulls(n, kind)
 
@@ -79,7 +90,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
                         sample.append((int(sig[i]), values[offsets[i] : offsets[i + 1]].tobytes()))
                 sample = sorted(dict(sample).items())[:SAMPLE_A_TASK]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(rows, np.int32)), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sig), _fill(rows, pa.int32()), _fill(rows, pa.binary())],
+                    [pa.array(np.zeros(rows, np.int32)), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sig), _fill(rows, pa.int32()), pa.array(histograms(values, offsets), pa.binary())],
                     names,
                 )
         if id_type is None:
@@ -182,19 +193,50 @@ def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den:
     return docs.select("text").mapInArrow(run, "key long, sig long, n int, pos int")
 
 
+def plausible(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the element counts (sig, blob) by bucket don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HISTOGRAM).astype(np.int64) for c in ("x", "y"))
+            n = x.sum(1) + y.sum(1)
+            any_number = ((x == 65535) | (y == 65535)).any(1)
+            keep = any_number | (np.minimum(x, y).sum(1) * (num + den) >= n * num)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    x = counts.select(F.col("sig").alias("a"), F.col("blob").alias("x"))
+    y = counts.select(F.col("sig").alias("b"), F.col("blob").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def fetch_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(sig, elements) of the wanted sets; ``wanted`` has (sig, doc_id of a row with it)."""
+    """(sig, elements) of the wanted sets; ``wanted`` has (sig, doc_id of a row with it).
+
+    A bit table of fixed size over the wanted ids spares most other texts; the join on the
+    set's own hash is exact.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words_of_bits = (
+        wanted.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect()  # at most 2**17 rows
+    )
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in words_of_bits:
+        table[r["at"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for big in batches:
+            h = big.column("h").to_numpy(zero_copy_only=False)
+            big = big.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
             for batch in N.slices(big):
                 values, offsets = N.row_sets(*N.utf8(batch.column("text")), words)
                 elements = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(signatures(values, offsets)), elements], ["sig", "elements"])
 
-    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    return rows.mapInArrow(run, "sig long, elements array<long>").dropDuplicates(["sig"])
+    sets = docs.select(place.alias("h"), "text").mapInArrow(run, "sig long, elements array<long>")
+    return sets.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -234,6 +276,9 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
     members = materialize(
         entries.join(met, "key").groupBy("key", "sig").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "jaccard-members"
     )
+    least = sets_of.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    counted = rows.where("kind = 0").join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("blob").alias("blob"))
+    counted = materialize(counted, "jaccard-counts")
     links, labels, sets = None, None, None
     for turn in range(star_rounds + 1):
         active = members.withColumn("label", F.col("sig"))
@@ -253,11 +298,12 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
             other = active.select("key", F.col("sig").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
             pairs = active.join(other, ["key"]).where("label < label2")
         pairs = pairs.where(_may_link(num, den)).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
-        pairs = materialize(pairs.distinct(), "jaccard-pairs")
-        if sets is None:
-            known = members.select("sig").distinct()
-            wanted = sets_of.join(known, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-            sets = materialize(fetch_sets(docs, wanted, words).join(known, "sig", "left_semi"), "jaccard-sets")
+        pairs = materialize(plausible(pairs.distinct(), counted, num, den), "jaccard-pairs")
+        needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        if sets is not None:
+            needed = needed.join(sets.select("sig"), "sig", "left_anti")
+        new = materialize(fetch_sets(docs, least.join(needed, "sig", "left_semi"), words), "jaccard-sets")
+        sets = new if sets is None else sets.unionByName(new)
         found = materialize(verified(pairs, sets, num, den), "jaccard-links")
         if links is not None and found.limit(1).count() == 0:
             continue
