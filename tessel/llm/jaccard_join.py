@@ -16,10 +16,12 @@ documents) nor the boundary changes the result.
 
 Equal sets are one node. Lists are linked without enumerating the pairs of a group: first
 every member with the least member of its list (``star_rounds`` times, by another order
-each time), then only pairs across components that still meet in a list. A proposed pair
-whose element counts by bucket rule out the overlap is dropped (the sum of the lesser counts
-bounds the overlap from above); every other pair is verified on the whole sets. What is left out are pairs already in one component, which
-cannot change the components.
+each time), then only pairs across components that still meet in a list. Bounds that hold
+for every linked pair drop proposed pairs early: the sizes; the places of the shared element;
+the parities of the element counts in 128 buckets (sets that differ in more of them than
+elements may differ cannot link); the element counts in HISTOGRAM buckets (the sum of the
+lesser ones bounds the overlap). Every pair left is verified on the whole sets. What is left
+out are pairs already in one component, which cannot change the components.
 
 Rows with a null doc_id keep it; their component is the least doc_id that is known in it.
 Rows that share a doc_id are taken one by one.
@@ -67,6 +69,18 @@ def histograms(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.minimum(counts, 65535).astype(np.uint16)]
 
 
+def parities(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of each row's element counts in 128 buckets, as two 64-bit numbers."""
+    out = []
+    for half in range(2):
+        mine = ((values >> U64(13)) & U64(1)) == half
+        bits = np.where(mine, U64(1) << ((values >> U64(7)) & U64(63)), U64(0))
+        sums = np.zeros(len(values) + 1, U64)
+        np.bitwise_xor.accumulate(bits, out=sums[1:])
+        out.append((sums[offsets[1:]] ^ sums[offsets[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
 def _fill(n: int, kind: pa.DataType) -> pa.Array:
     return pa.nulls(n, kind)
 
@@ -152,7 +166,7 @@ def choose_boundary(rows: DataFrame, counts: np.ndarray, num: int, den: int) ->
 
 
 def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den: int) -> DataFrame:
-    """(key, sig, n, pos): the list entries of every distinct set of a task."""
+    """(key, sig, n, pos, odd0, odd1): the list entries of every distinct set of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
@@ -160,7 +174,7 @@ def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den:
         for big in batches:
             for batch in N.slices(big):
                 values, offsets = N.row_sets(*N.utf8(batch.column("text")), words)
-                sig, n = signatures(values, offsets), np.diff(offsets)
+                sig, n, odd = signatures(values, offsets), np.diff(offsets), parities(values, offsets)
                 new = np.zeros(len(sig), bool)
                 # a set that no set of another size or content can reach links with equals only
                 alone = (n * den // num == n) & (-(-n * num // den) == n)
@@ -186,11 +200,11 @@ def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den:
                     at.append(i)
                 key, row = np.concatenate(keys).view(np.int64), np.concatenate(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(sig[row]), pa.array(n[row].astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32))],
-                    ["key", "sig", "n", "pos"],
+                    [pa.array(key), pa.array(sig[row]), pa.array(n[row].astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(odd[0][row]), pa.array(odd[1][row])],
+                    ["key", "sig", "n", "pos", "odd0", "odd1"],
                 )
 
-    return docs.select("text").mapInArrow(run, "key long, sig long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "key long, sig long, n int, pos int, odd0 long, odd1 long")
 
 
 def plausible(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
@@ -253,11 +267,13 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _may_link(num: int, den: int):
-    """Condition on two list entries: sizes, and what the places in the sets leave over."""
+    """Condition on two list entries: sizes, what the places leave over, and the parities."""
+    differ = F.bit_count(F.col("odd0").bitwiseXOR(F.col("odd0_2"))) + F.bit_count(F.col("odd1").bitwiseXOR(F.col("odd1_2")))
     least = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")).cast("long")
     return (
         (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
         & (least * (num + den) >= (F.col("n") + F.col("n2")) * num)
+        & (differ * (num + den) <= (F.col("n") + F.col("n2")) * (den - num))
     )
 
 
@@ -274,7 +290,7 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
     entries = materialize(postings(docs, shared, boundary, words, num, den), "jaccard-entries")
     met = entries.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key")
     members = materialize(
-        entries.join(met, "key").groupBy("key", "sig").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "jaccard-members"
+        entries.join(met, "key").groupBy("key", "sig").agg(*[F.min(c).alias(c) for c in ("n", "pos", "odd0", "odd1")]), "jaccard-members"
     )
     least = sets_of.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     counted = rows.where("kind = 0").join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("blob").alias("blob"))
@@ -289,14 +305,14 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
             )
             open_ = active.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
             active = active.join(open_, "key")
+        other = [F.col(c).alias(d) for c, d in (("sig", "hub"), ("n", "n2"), ("pos", "pos2"), ("odd0", "odd0_2"), ("odd1", "odd1_2"), ("label", "label2"))]
         if turn < star_rounds:
             hub = active.groupBy("key").agg(
-                F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), F.col("sig").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))).alias("hub")
+                F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), *other)).alias("hub")
             )
-            pairs = active.join(hub.select("key", "hub.hub", "hub.n2", "hub.pos2", "hub.label2"), "key").where("sig <> hub and label <> label2")
+            pairs = active.join(hub.select("key", "hub.*").drop("h"), "key").where("sig <> hub and label <> label2")
         else:
-            other = active.select("key", F.col("sig").alias("hub"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-            pairs = active.join(other, ["key"]).where("label < label2")
+            pairs = active.join(active.select("key", *other), "key").where("label < label2")
         pairs = pairs.where(_may_link(num, den)).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
         pairs = materialize(plausible(pairs.distinct(), counted, num, den), "jaccard-pairs")
         needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
