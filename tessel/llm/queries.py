@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_templates, quality, secrets, sentencepiece_codec, toxicity, warc_fixity
+from . import audio_fingerprint, decontaminate, jaccard_join, line_templates, lm_scoring, quality, secrets, sentencepiece_codec, toxicity, warc_fixity
 from .common import held_out_bucket, load, materialize
 from .sql import SQL
 
@@ -94,13 +94,31 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole text; rows whose remainder is 2 are held out."""
+    docs = load(spark, sf_dir, "documents")
+    held_out = held_out_bucket("doc_id", 7) == 2
+    scored = lm_scoring.score_documents(docs, ~held_out)
+    return scored.withColumn("held_out", F.coalesce(held_out, F.lit(False))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint class of every vector played as notes; ids divisible by 20 are queries."""
+    media = audio_fingerprint.sonified(load(spark, sf_dir, "embeddings"))
+    return audio_fingerprint.search(media, F.col("media_id") % 20 == 0).withColumnRenamed("media_id", "vec_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_fixity": op1_warc_fixity,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_secrets": op3_secrets,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality": op5_quality,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_line_templates": op7_line_templates,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
+    "op10_audio_fingerprint": op10_audio_fingerprint,
 }

@@ -183,34 +183,54 @@ def fit(
     return Model(vocabulary[kept], w, float(b))
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row, from its whole text."""
-
+def _scores(batch: pa.RecordBatch, model: Model, sieve: np.ndarray) -> np.ndarray:
+    n = batch.num_rows
+    z = np.full(n, model.bias)
+    if len(model.words):
+        data, offsets = N.utf8(batch.column("text"))
+        hits = []
+        for hashes, rows in word_keys(data, offsets):
+            likely = np.flatnonzero(sieve[(hashes >> N.U64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(model.words, hashes[likely]), len(model.words) - 1)
+            hit = model.words[at] == hashes[likely]
+            hits.append(rows[likely[hit]] * len(model.words) + at[hit])
+        once = np.unique(np.concatenate(hits))
+        z += np.bincount(once // len(model.words), model.weights[once % len(model.words)], n)
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _sieve(model: Model) -> np.ndarray:
     sieve = np.zeros(1 << 16, bool)
     sieve[(model.words >> N.U64(48)).astype(np.int64)] = True
+    return sieve
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) for every row, from its whole text."""
+    sieve = _sieve(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in N.slices(big):
-                n = batch.num_rows
-                z = np.full(n, model.bias)
-                if len(model.words):
-                    data, offsets = N.utf8(batch.column("text"))
-                    hits = []
-                    for hashes, rows in word_keys(data, offsets):
-                        likely = np.flatnonzero(sieve[(hashes >> N.U64(48)).astype(np.int64)])
-                        at = np.minimum(np.searchsorted(model.words, hashes[likely]), len(model.words) - 1)
-                        hit = model.words[at] == hashes[likely]
-                        hits.append(rows[likely[hit]] * len(model.words) + at[hit])
-                    once = np.unique(np.concatenate(hits))
-                    z += np.bincount(once // len(model.words), model.weights[once % len(model.words)], n)
-                score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                score = _scores(batch, model, sieve)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     kept = docs.select("doc_id", "text")
     return kept.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more; all columns stay."""
+    sieve = _sieve(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for batch in N.slices(big):
+                yield batch.filter(pa.array(_scores(batch, model, sieve) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(documents: DataFrame, labels: DataFrame, admit: Column, max_per_class: int = 2000, **options) -> Model:
     """Fit on at most ``max_per_class`` labelled rows per class admitted by ``admit``."""
     rows = labelled_sample(documents, labels, "toxic", admit, max_per_class).orderBy("doc_id", "text").collect()
