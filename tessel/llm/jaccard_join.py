@@ -18,7 +18,7 @@ Equal sets are one node. Lists are linked without enumerating the pairs of a gro
 every member with the least member of its list (``star_rounds`` times, by another order
 each time), then only pairs across components that still meet in a list. Bounds that hold
 for every linked pair drop proposed pairs early: the sizes; the places of the shared element;
-the parities of the element counts in 128 buckets (sets that differ in more of them than
+the parities of the element counts in 256 buckets (sets that differ in more of them than
 elements may differ cannot link); the element counts in HISTOGRAM buckets (the sum of the
 lesser ones bounds the overlap). Every pair left is verified on the whole sets. What is left
 out are pairs already in one component, which cannot change the components.
@@ -46,8 +46,11 @@ SKETCH_PARTS = 64
 SAMPLE_A_TASK = 32
 COST_SAMPLE = 2000
 HISTOGRAM = 128
+ODD = 4
 FILTER_BITS = 23
 U64 = np.uint64
+ODDS = [f"odd{k}" for k in range(ODD)]
+SLICE = 1 << 20
 
 
 def bucket_of(values: np.ndarray) -> np.ndarray:
@@ -69,16 +72,15 @@ def histograms(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.minimum(counts, 65535).astype(np.uint16)]
 
 
-def parities(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parities of each row's element counts in 128 buckets, as two 64-bit numbers."""
+def parities(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Parities of each row's element counts in 64 * ODD buckets, as 64-bit numbers."""
     out = []
-    for half in range(2):
-        mine = ((values >> U64(13)) & U64(1)) == half
-        bits = np.where(mine, U64(1) << ((values >> U64(7)) & U64(63)), U64(0))
+    for k in range(ODD):
+        mine = ((values >> U64(13)) % U64(ODD)) == U64(k)
         sums = np.zeros(len(values) + 1, U64)
-        np.bitwise_xor.accumulate(bits, out=sums[1:])
+        np.bitwise_xor.accumulate(np.where(mine, U64(1) << ((values >> U64(7)) & U64(63)), U64(0)), out=sums[1:])
         out.append((sums[offsets[1:]] ^ sums[offsets[:-1]]).view(np.int64))
-    return out[0], out[1]
+    return out
 
 
 def _fill(n: int, kind: pa.DataType) -> pa.Array:
@@ -95,7 +97,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
         names, id_type = ["kind", "doc_id", "n", "sig", "part", "blob"], None
         for big in batches:
             id_type = big.column("doc_id").type
-            for batch in N.slices(big):
+            for batch in N.slices(big, max_bytes=SLICE):
                 values, offsets = N.row_sets(*N.utf8(batch.column("text")), words)
                 sig, n, rows = signatures(values, offsets), np.diff(offsets), batch.num_rows
                 counts += np.bincount(bucket_of(values), minlength=1 << SKETCH_BITS)
@@ -166,13 +168,13 @@ def choose_boundary(rows: DataFrame, counts: np.ndarray, num: int, den: int) ->
 
 
 def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den: int) -> DataFrame:
-    """(key, sig, n, pos, odd0, odd1): the list entries of every distinct set of a task."""
+    """(key, sig, n, pos, odd0, ...): the list entries of every distinct set of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
         seen: set[int] = set()
         for big in batches:
-            for batch in N.slices(big):
+            for batch in N.slices(big, max_bytes=SLICE):
                 values, offsets = N.row_sets(*N.utf8(batch.column("text")), words)
                 sig, n, odd = signatures(values, offsets), np.diff(offsets), parities(values, offsets)
                 new = np.zeros(len(sig), bool)
@@ -197,14 +199,14 @@ def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den:
                     i, j = np.triu_indices(len(head), 1)
                     keys.append(N.mix(head[i] * U64(0x9FB21C651E98DF25) + head[j] + U64(2)))
                     own.append(np.full(len(i), row))
-                    at.append(i)
+                    at.append(j - 1)  # if these are the first two shared, j - 1 elements are not
                 key, row = np.concatenate(keys).view(np.int64), np.concatenate(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(sig[row]), pa.array(n[row].astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(odd[0][row]), pa.array(odd[1][row])],
-                    ["key", "sig", "n", "pos", "odd0", "odd1"],
+                    [pa.array(key), pa.array(sig[row]), pa.array(n[row].astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), *[pa.array(x[row]) for x in odd]],
+                    ["key", "sig", "n", "pos", *ODDS],
                 )
 
-    return docs.select("text").mapInArrow(run, "key long, sig long, n int, pos int, odd0 long, odd1 long")
+    return docs.select("text").mapInArrow(run, "key long, sig long, n int, pos int" + "".join(f", {c} long" for c in ODDS))
 
 
 def plausible(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
@@ -244,7 +246,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for big in batches:
             h = big.column("h").to_numpy(zero_copy_only=False)
             big = big.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
-            for batch in N.slices(big):
+            for batch in N.slices(big, max_bytes=SLICE):
                 values, offsets = N.row_sets(*N.utf8(batch.column("text")), words)
                 elements = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(signatures(values, offsets)), elements], ["sig", "elements"])
@@ -268,7 +270,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def _may_link(num: int, den: int):
     """Condition on two list entries: sizes, what the places leave over, and the parities."""
-    differ = F.bit_count(F.col("odd0").bitwiseXOR(F.col("odd0_2"))) + F.bit_count(F.col("odd1").bitwiseXOR(F.col("odd1_2")))
+    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in ODDS)
     least = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")).cast("long")
     return (
         (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
@@ -290,7 +292,7 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
     entries = materialize(postings(docs, shared, boundary, words, num, den), "jaccard-entries")
     met = entries.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key")
     members = materialize(
-        entries.join(met, "key").groupBy("key", "sig").agg(*[F.min(c).alias(c) for c in ("n", "pos", "odd0", "odd1")]), "jaccard-members"
+        entries.join(met, "key").groupBy("key", "sig").agg(*[F.min(c).alias(c) for c in ("n", "pos", *ODDS)]), "jaccard-members"
     )
     least = sets_of.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     counted = rows.where("kind = 0").join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("blob").alias("blob"))
@@ -305,7 +307,7 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
             )
             open_ = active.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
             active = active.join(open_, "key")
-        other = [F.col(c).alias(d) for c, d in (("sig", "hub"), ("n", "n2"), ("pos", "pos2"), ("odd0", "odd0_2"), ("odd1", "odd1_2"), ("label", "label2"))]
+        other = [F.col(c).alias(d) for c, d in (("sig", "hub"), ("n", "n2"), ("pos", "pos2"), *((c, f"{c}_2") for c in ODDS), ("label", "label2"))]
         if turn < star_rounds:
             hub = active.groupBy("key").agg(
                 F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), *other)).alias("hub")
