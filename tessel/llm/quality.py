@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from . import textnum as N
-from .common import labelled_sample
+from .common import labelled_sample, release
 
 GRAMS = (3, 4, 5)
 SHAPE_GRAMS = (3, 4)
@@ -166,4 +166,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, admit: Column, max_per_class: int = 1500, **options) -> Model:
     """Fit on at most ``max_per_class`` labelled rows per class admitted by ``admit``."""
     rows = labelled_sample(documents, labels, "quality", admit, max_per_class).orderBy("doc_id", "text").collect()
-    return fit([r.text for r in rows], [r.label for r in rows], **options)
+    model = fit([r.text for r in rows], [r.label for r in rows], **options)
+    del rows
+    release()
+    return model

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .common import labelled_sample
+from .common import labelled_sample, release
 
 #: Identity terms by group; a parameter of fit().
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -234,4 +234,7 @@ def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
 def train(documents: DataFrame, labels: DataFrame, admit: Column, max_per_class: int = 2000, **options) -> Model:
     """Fit on at most ``max_per_class`` labelled rows per class admitted by ``admit``."""
     rows = labelled_sample(documents, labels, "toxic", admit, max_per_class).orderBy("doc_id", "text").collect()
-    return fit([r.text for r in rows], [r.label for r in rows], **options)
+    model = fit([r.text for r in rows], [r.label for r in rows], **options)
+    del rows
+    release()
+    return model
