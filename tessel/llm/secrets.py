@@ -54,12 +54,13 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     """(text, label) of ``n`` random strings (1) and ``n`` identifiers (0), always the same."""
     words = F.split(F.lit(IDENTIFIER_WORDS), " ")
     word = [F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.size(words)) + 1).cast("int")) for k in range(4)]
-    shape = F.pmod(F.xxhash64("id", F.lit("shape")), F.lit(5))
+    shape = F.pmod(F.xxhash64("id", F.lit("shape")), F.lit(6))
     plain = (
         F.when(shape == 0, F.concat_ws("_", *word))
         .when(shape == 1, F.concat(word[0], *[F.initcap(w) for w in word[1:]]))
         .when(shape == 2, F.concat_ws("-", *word[:3]))
         .when(shape == 3, F.concat_ws("/", *word))
+        .when(shape == 4, F.repeat(F.substring(F.lit(ALPHABET), (F.pmod(F.col("id"), F.lit(len(ALPHABET))) + 1).cast("int"), F.lit(1)), F.lit(24)))  # rulers and placeholders
         .otherwise(F.concat_ws("_", F.upper(word[0]), F.upper(word[1]), F.pmod(F.col("id"), F.lit(100)).cast("string")))
     )
     digest = F.sha2(F.col("id").cast("string"), 256)
