@@ -132,7 +132,7 @@ def _tagged(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def find_secrets(docs: DataFrame, model: Sequence[float], min_ratio: float = 1.0, text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, model: Sequence[float], min_ratio: float = 1.25, text: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: an array of (start, kind, end), by start, then kind.
 
     ``kind`` counts KINDS from 0. The columns ``secrets`` and those that begin with two
