@@ -80,17 +80,52 @@ def roc(predictions: DataFrame, steps: int = 100) -> DataFrame:
 
 
 def running_balance(deltas: DataFrame, keys: list[str], order: list[str], amount: str) -> DataFrame:
-    """Balance after each delta, and the one before it."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    after = F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return deltas.withColumn("balance", after).withColumn("old_balance", F.coalesce(F.lag("balance").over(w), F.lit(0.0)))
+    """Balance after each delta, and the one before it.
+
+    Days are summed first and each day runs on from the sum of the days before it, so that a
+    key with many rows is split by day. ``order`` starts with a time.
+    """
+    day = F.to_date(order[0])
+    days = deltas.groupBy(*keys, day.alias("__day")).agg(F.sum(amount).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.select(*keys, "__day", F.coalesce(before, F.lit(0.0)).alias("__before"))
+    w = Window.partitionBy(*keys, "__day").orderBy(*order)
+    here = F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    earlier = F.coalesce(F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = deltas.withColumn("__day", day).withColumns({"balance": here, "old_balance": earlier}).join(days, [*keys, "__day"])
+    return rows.withColumns({c: F.col(c) + F.col("__before") for c in ("balance", "old_balance")}).drop("__day", "__before")
 
 
 def ema(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential moving average of each key's ordered values (a key's values in one row)."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value])
-    folded = F.aggregate("v", F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x).otherwise(alpha * x + (1 - alpha) * s))
-    return rows.groupBy(key).agg(ordered.alias("v")).select(key, folded.alias("ema"))
+    """Exponential moving average of each key's ordered values, from its first value on.
+
+    A step is affine, so a day folds into one sum of weighted values and a row count, and a key
+    folds its days: no key's values meet in one row or task. ``order`` starts with a time.
+    """
+    day = F.to_date(order[0])
+    w = Window.partitionBy(key, "__day").orderBy(*[F.desc(c) for c in order])
+    aged = rows.withColumn("__day", day).withColumn("__age", F.row_number().over(w) - 1)
+    days = aged.groupBy(key, "__day").agg(
+        F.sum(alpha * F.pow(F.lit(1 - alpha), F.col("__age")) * F.col(value)).alias("__part"), F.count("*").alias("__n"), F.min_by(value, F.struct(*order)).alias("__first"),
+    )
+    later = Window.partitionBy(key).orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__later", F.coalesce(F.sum("__n").over(later), F.lit(0)))
+    decay = F.pow(F.lit(1 - alpha), F.col("__later"))
+    start = F.pow(F.lit(1 - alpha), F.sum("__n")) * F.min_by("__first", "__day")
+    return days.groupBy(key).agg((F.sum(F.col("__part") * decay) + start).alias("ema"))
+
+
+def domain_profile(rows: DataFrame, keys: list[str], success: Column, score: Column) -> DataFrame:
+    """Counts, success rate and mean score by key; a null success is none, null scores don't count."""
+    won = F.count_if(F.coalesce(success, F.lit(False)))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), won.alias("success"), F.round(won / F.count("*"), 6).alias("success_rate"), F.round(F.coalesce(F.avg(score), F.lit(0.0)), 6).alias("avg_score"))
+
+
+def net_effect(rows: DataFrame, keys: list[str], order: list[str], reset: Column, amount: str) -> DataFrame:
+    """Sum and number of each key's steps from its last reset on (from the first without one)."""
+    last = rows.where(reset).groupBy(*keys).agg(F.max(F.struct(*order)).alias("__reset"))
+    live = rows.join(last, keys, "left").where(F.col("__reset").isNull() | (F.struct(*order) >= F.col("__reset")))
+    return live.groupBy(*keys).agg(F.count("*").alias("steps"), F.sum(amount).alias("net"))
 
 
 def fit_line(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -115,3 +150,9 @@ def decision_matrix(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 def risk_band(p: Column, i: Column, high: float = 0.7) -> Column:
     return F.when((p >= high) & (i >= high), "High").when(F.round(p * i, 4) >= 0.25, "Medium").otherwise("Low")
+
+
+def factor_band(x: Column) -> Column:
+    """Fixed thresholds .7, .4 and .2; what is no number counts as 0."""
+    v = F.coalesce(x, F.lit(0.0))
+    return F.when(v >= 0.7, "high").when(v >= 0.4, "medium").when(v >= 0.2, "low").otherwise("minor")

@@ -1,0 +1,5 @@
+"""The query catalogue; importing it registers every query."""
+
+from . import catalog, derived
+
+__all__ = ["catalog", "derived"]
