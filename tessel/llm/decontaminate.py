@@ -1,25 +1,29 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH (operator 8).
 
-Texts and benchmark items are sequences of words (A-Z lower-cased, split at white space).
-At every word of a text starts a CGK random walk: at step j it emits the word it stands on
-and moves on by one random bit that depends on j and the word. Two windows at small edit
-distance fall back into step, so their walks agree on most steps: edit distance becomes
-Hamming distance. Each of ``tables`` repetitions has its own walk and keeps the emitted
-words of a fixed sample of steps as its key.
-
-The walk from a word is a prefix of the walk over any window that begins there, whatever
-the item's size, so one walk a word serves item-sized windows of all sizes. Items are
-entered under the keys of all their words; a text position with an item's key proposes the
-window of the item's size around it. Each pass over ``tables`` x item positions is one more
-draw, which is what brings the recall up (measured in the tests).
-
-Proposed windows are verified exactly: the least edit distance, in characters of the words
-joined by blanks, between the item and any part of the window with its slack, by the
-bit-parallel method. Up to ``max_share`` of the item's characters may differ.
-
-Items of fewer words than a walk reaches are entered under pairs of neighbouring words (one
-word if they have just one). Null or empty items match nothing; null and empty texts hold
-nothing. Items are taken in blocks of ``block_items``, each sent to the tasks as a table.
+Texts and benchmark items are taken as their words joined by one blank (A-Z lower-cased,
+split at white space), read as code points. The symbol at a position is its gram of GRAM
+characters. At every position starts a CGK random walk: at step j it emits the symbol it
+stands on and moves on by one random bit that depends on j and the symbol. Two windows at
+small edit distance fall back into step, so edit distance becomes Hamming distance, and the
+symbols emitted before the first and after the last of STEPS steps are the walk's key. Each table has its own walk.
+
+Every position of an item is one draw, entered under its key. A text position with an
+item's key votes for the window that it and the item's position line up; votes are counted
+by row, item and band of line-ups. How many votes an item's window must have is set by
+``calibrate``: copies of the item with ``max_share`` of its characters edited, at random
+places, at even distances and by replacement at even distances, go through the same search, and the bar is BAR of the least
+vote among them. An item enters as many tables, up to ``tables``, as lift its bar to
+LEAST_VOTES. The aim is a recall of 0.9 at every edit rate up to ``max_share``; the tests
+measure it against brute force.
+
+Items that do not get there, short ones above all, are searched exactly: k edits leave one
+of k + 1 disjoint pieces whole, so every text position that holds a piece is a vote and one
+vote is enough.
+
+Voted windows are verified exactly: the least edit distance, in characters, between the item
+and any part of the window with its slack, by the bit-parallel method. Up to ``max_share`` of
+the item's characters may differ. Null or empty items match nothing; null and empty texts
+hold nothing. Items are taken in blocks of ``block_items``, each sent to the tasks as a table.
 """
 
 from __future__ import annotations
@@ -34,42 +38,73 @@ from pyspark.sql import functions as F
 
 from . import textnum as N
 
-STEPS = 12
-LEAST_MOVE = 4
-GRAM = 5
-SLICE = 1 << 19  # bytes of text at a time: a slice's arrays stay in the processor's cache
-SAMPLED = ((0, 4, 7, 11), (0, 3, 8, 10), (0, 2, 6, 9), (0, 3, 5, 8), (0, 4, 6, 9), (0, 2, 5, 8))
+GRAM = 4
+STEPS = 8  # a power of two, at most 8
+LEAST_VOTES = 4
+BAR = 0.8
+TRIALS = 12  # copies of an item to calibrate by, by thirds: edits at random places, at even distances, the same by replacement only
+LONGEST_PIECE = 12
+BANDS = 5  # a band of line-ups is this part of the edits an item may have
+LEMMA = 5
+SLICE = 1 << 18  # bytes of text at a time: a slice's arrays stay in the processor's cache
+SIEVE = 20
 U64 = np.uint64
 #: A multiplier for each table; a walk's bits are the leading ones of the product.
-ODD = tuple(U64((0xD6E8FEB86659FD93 * (2 * t + 1)) % (1 << 64)) for t in range(len(SAMPLED)))
-
-
-def walk_keys(words: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the walks from every word, and how many words each has moved on."""
-    n, sampled = len(words), SAMPLED[table]
-    last = max(sampled)
-    padded = np.concatenate([words, np.repeat(words[-1:], last + 1)])  # a walk may end past the last word
-    bits = ((padded * ODD[table]) >> U64(48)).astype(np.uint16)
-    at = np.arange(n, dtype=np.int32)
-    key = np.full(n, U64(table + 1), U64)
-    for j in range(last + 1):
-        if j in sampled:
-            key ^= padded.take(at)
-            key *= U64(0x9FB21C651E98DF25)
-            key ^= key >> U64(31)
-        if j < last:
-            step = bits.take(at)
-            step >>= j
-            step &= 1
-            at += step
-    return key, at - np.arange(n, dtype=np.int32)
-
-
-def pair_keys(words: np.ndarray, size: int) -> np.ndarray:
-    """Keys of single words or neighbouring pairs, for items too short for a walk."""
-    if size == 1 or len(words) < 2:
-        return N.mix(words + U64(99)) if size == 1 else np.zeros(0, U64)
-    return N.mix(words[:-1] * U64(0x9FB21C651E98DF25) + words[1:])
+ODD = tuple(U64((0xD6E8FEB86659FD93 * (2 * t + 1)) % (1 << 64)) for t in range(16))
+
+
+def plain(raw: bytes) -> str:
+    """The words of a text joined by blanks, A-Z lower-cased."""
+    return b" ".join(raw.lower().split()).decode("utf-8", "replace")
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` code points from every position; zeros follow the last."""
+    n = len(codes)
+    padded = np.concatenate([codes, np.zeros(size, np.uint32)]).astype(U64)
+    out = np.full(n, U64(size), U64)
+    for k in range(size):
+        out += padded[k : k + n] + U64(1)
+        out *= U64(0x9FB21C651E98DF25)
+    out ^= out >> U64(29)
+    out *= U64(0xBF58476D1CE4E5B9)
+    out ^= out >> U64(32)
+    return out
+
+
+def moved(first: np.ndarray, then: np.ndarray, most: int) -> np.ndarray:
+    """Moves of two runs of steps in a row, from every position; ``first`` moves up to ``most``."""
+    out = first.copy()
+    for k in range(most + 1):
+        later = np.concatenate([then[k:], np.zeros(k, np.uint8)])
+        later *= first == k
+        out += later
+    return out
+
+
+def walk_keys(symbols: np.ndarray, table: int) -> np.ndarray:
+    """Keys of the walks of STEPS steps from every position, of the first and the last symbol."""
+    bits = ((symbols * ODD[table]) >> U64(64 - STEPS)).astype(np.uint8)
+    runs, most = [(bits >> j) & 1 for j in range(STEPS)], 1
+    while len(runs) > 1:
+        runs, most = [moved(a, b, most) for a, b in zip(runs[::2], runs[1::2], strict=True)], 2 * most
+    end = runs[0] + np.arange(len(symbols))
+    key = (symbols ^ U64(table + 1)) * U64(0x9FB21C651E98DF25)
+    key ^= key >> U64(31)
+    key ^= symbols.take(end, mode="clip")  # a walk may end past the last one
+    key *= U64(0x9FB21C651E98DF25)
+    key ^= key >> U64(31)
+    return key
+
+
+def lemma_codes(codes: np.ndarray) -> np.ndarray:
+    """16-bit hashes of the LEMMA characters from every position."""
+    parts = [gram_hashes(codes[k : k + SLICE + LEMMA], LEMMA)[:SLICE] >> U64(48) for k in range(0, len(codes), SLICE)]
+    return np.concatenate([p.astype(np.uint16) for p in parts] or [np.zeros(0, np.uint16)])
 
 
 def infix_distance(pattern: str, text: str, limit: int) -> int | None:
@@ -77,12 +112,6 @@ def infix_distance(pattern: str, text: str, limit: int) -> int | None:
     if pattern in text:
         return 0
     m = len(pattern)
-    # an edit touches at most GRAM of the pattern's grams, so this many are left whole
-    whole = m - GRAM + 1 - GRAM * limit
-    if whole > 0:
-        grams = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
-        if sum(pattern[i : i + GRAM] in grams for i in range(m - GRAM + 1)) < whole:
-            return None
     full, top = (1 << m) - 1, 1 << (m - 1)
     peq: dict[str, int] = defaultdict(int)
     for i, ch in enumerate(pattern):
@@ -106,89 +135,166 @@ def infix_distance(pattern: str, text: str, limit: int) -> int | None:
     return best if best <= limit else None
 
 
+def edited(codes: np.ndarray, edits: int, rng: np.random.Generator, even: bool, replace: bool = False) -> np.ndarray:
+    """A copy with ``edits`` characters replaced, added or left out, or all of them replaced."""
+    n = len(codes)
+    at = ((np.arange(edits) + rng.random()) * n / edits).astype(int) if even else np.sort(rng.choice(n, edits, replace=False))
+    kind, other = rng.integers(0, 1 if replace else 3, edits), codes[rng.integers(0, n, edits)]
+    other = np.where(other == codes[at], codes.max() + 1, other)
+    out = np.insert(codes, at[kind == 1] + 1, other[kind == 1])
+    place = at + np.cumsum(kind == 1) - (kind == 1)
+    out[place[kind == 0]] = other[kind == 0]
+    return np.delete(out, place[kind == 2])
+
+
 class Index:
-    """Items, their keys by table, and the search of a batch of texts."""
-
-    def __init__(self, items: Sequence[tuple[object, str | None]], max_share: float, tables: int):
-        self.max_share, self.tables = max_share, tables
-        data, offsets = N.utf8(pa.array([t for _, t in items], pa.string()))
-        low = N.LOWER[data]
-        starts, ends, rows = N.word_spans(low, offsets)
-        hashes = N.span_hashes(low, starts, ends)
-        first = np.searchsorted(rows, np.arange(len(items) + 1))
+    """Items, their keys by table, and the search of a batch of texts.
+
+    ``plan`` has (tables, votes needed) of each item; no tables means the exact search.
+    """
+
+    def __init__(self, items: Sequence[tuple[object, str | None]], max_share: float, plan: Sequence[tuple[int, int]]):
         self.ids = [i for i, _ in items]
-        self.texts, self.sizes = [], []
-        found: dict[str, list] = defaultdict(list)
-        for i in range(len(items)):
-            own = slice(first[i], first[i + 1])
-            n = first[i + 1] - first[i]
-            self.sizes.append(int(n))
-            self.texts.append(b" ".join(low[s:e].tobytes() for s, e in zip(starts[own], ends[own], strict=True)).decode("utf-8", "replace"))
-            if not n:
+        self.texts = [plain((t or "").encode("utf-8", "replace")) for _, t in items]
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.limits = np.array([int(max_share * n) for n in self.sizes], np.int64)
+        self.need = np.array([votes for _, votes in plan], np.int64)
+        self.grams = [lemma_codes(code_points(t))[: max(0, len(t) - LEMMA + 1)] for t in self.texts]
+        self.whole = np.array([len(g) for g in self.grams], np.int64) - LEMMA * self.limits
+        self.width = self.limits // BANDS + 1
+        found: dict[tuple[str, int], list] = defaultdict(list)
+        for i, (text, (tables, _)) in enumerate(zip(self.texts, plan, strict=True)):
+            if not text:
                 continue
-            words = hashes[own]
-            entered = False
-            for t in range(tables):
-                key, moved = walk_keys(words, t)
-                # a walk that stands still says little; it is the same walk in text and item, so
-                # leaving it out here leaves it out everywhere
-                inside = np.flatnonzero((np.arange(n) + moved < n - 1) & (moved >= LEAST_MOVE))
-                if n >= STEPS:
-                    found[f"walk{t}"] += [(k, i, p) for k, p in zip(key[inside], inside, strict=True)]
-                    entered |= len(inside) > 0
-            if not entered:
-                kind = "one" if n == 1 else "two"
-                found[kind] += [(k, i, p) for p, k in enumerate(pair_keys(words, int(n)))]
-        self.keys = {}
-        for kind, rows_ in found.items():
-            rows_.sort(key=lambda x: (int(x[0]), x[1], x[2]))
-            self.keys[kind] = tuple(np.array(c, d) for c, d in zip(zip(*rows_, strict=True), (U64, np.int64, np.int64), strict=True))
-        # a bit table of the keys' leading bits keeps most positions from the exact lookup
-        self.sieve = {}
-        for kind, (key, _, _) in self.keys.items():
-            bit = np.zeros(1 << 20, bool)
-            bit[(key >> U64(44)).astype(np.int64)] = True
+            codes = code_points(text)
+            if tables:
+                symbols = gram_hashes(codes, GRAM)
+                for t in range(tables):
+                    found["walk", t].append((walk_keys(symbols, t), i, np.arange(len(codes))))
+            else:
+                step = max(1, len(codes) // (int(self.limits[i]) + 1))
+                size = min(step, LONGEST_PIECE)
+                place = np.arange(min(int(self.limits[i]) + 1, len(codes))) * step
+                found["piece", size].append((gram_hashes(codes, size)[place], i, place))
+        self.keys, self.sieve = {}, {}
+        for kind, parts in found.items():
+            key = np.concatenate([k for k, _, _ in parts])
+            item = np.repeat(np.array([i for _, i, _ in parts], np.int32), [len(k) for k, _, _ in parts])
+            place = np.concatenate([p for _, _, p in parts]).astype(np.int32)
+            order = np.lexsort((place, item, key))
+            key, run, count = np.unique(key[order], return_index=True, return_counts=True)
+            self.keys[kind] = key, run, count, item[order], place[order]
+            # a bit table of the keys' leading bits keeps most positions from the exact lookup
+            bit = np.zeros(1 << SIEVE, bool)
+            bit[(key >> U64(64 - SIEVE)).astype(np.int64)] = True
             self.sieve[kind] = bit
 
+    def votes(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, item, band and start of every vote, sorted, for the rows that begin at ``first``."""
+        at, item, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for begin in range(0, len(codes), SLICE):  # one text may be far longer than a slice
+            part = codes[begin : begin + SLICE + 64]
+            symbols = gram_hashes(part, GRAM) if any(k == "walk" for k, _ in self.keys) else None
+            for (kind, n), (key, run, runs, items, places) in self.keys.items():
+                own = walk_keys(symbols, n) if kind == "walk" else gram_hashes(part, n)
+                own = own[:SLICE]
+                likely = np.flatnonzero(self.sieve[kind, n].take((own >> U64(64 - SIEVE)).astype(np.int64)))
+                own = own[likely]
+                lo = np.searchsorted(key, own)
+                met = np.flatnonzero(key.take(lo, mode="clip") == own)
+                count, lo = runs[lo[met]], run[lo[met]]
+                entry = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                q = np.repeat(likely[met], count) + begin
+                at.append(q)
+                item.append(items[entry].astype(np.int64))
+                start.append(q - places[entry])
+        at, item, start = (np.concatenate(x) for x in (at, item, start))
+        row = np.searchsorted(first, at, "right") - 1
+        # a line-up may begin before its row: whole items fit before the first position
+        band = (start + int(self.sizes.max(initial=0)) + 1) // self.width[item]
+        order = np.argsort(((row * len(self.ids) + item) << 32) + band)
+        return row[order], item[order], band[order], start[order]
+
+    def tallies(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, item, band, votes of the band and the next one, and where the band's votes begin and the next one's end."""
+        row, item, band, start = self.votes(codes, first)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+        lead = np.flatnonzero(new)
+        end = np.append(lead[1:], len(row))
+        row, item, band = row[lead], item[lead], band[lead]
+        both = np.zeros(len(lead), bool)
+        both[:-1] = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (band[1:] == band[:-1] + 1)
+        stop = np.where(both, np.append(end[1:], 0), end)
+        return row, item, band, stop - lead, lead, stop, start
+
     def search(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, edit distance, first word) of every row's best match of each item."""
         data, offsets = N.utf8(column)
-        low = N.LOWER[data]
-        starts, ends, rows = N.word_spans(low, offsets)
-        if not len(starts):
+        raw = data.tobytes()
+        texts = [plain(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        if not self.keys or not any(texts):
             return []
-        words = N.span_hashes(low, starts, ends)
-        hits = []
-        for kind, (key, item, place) in self.keys.items():
-            if kind.startswith("walk"):
-                own, _ = walk_keys(words, int(kind[4:]))
-            else:
-                own = pair_keys(words, 1 if kind == "one" else 2)
-            likely = np.flatnonzero(self.sieve[kind][(own >> U64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(key, own[likely], "left"), np.searchsorted(key, own[likely], "right")
-            count = hi - lo
-            at = np.repeat(likely, count)
-            entry = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            hits.append(np.stack([rows[at], item[entry], at - place[entry]], 1))
-        hits = np.unique(np.concatenate(hits), axis=0) if hits else np.zeros((0, 3), np.int64)
-        first = np.searchsorted(rows, np.arange(len(offsets)))
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        codes = code_points(" ".join(texts))
+        row, item, band, count, lead, stop, start = self.tallies(codes, first[:-1])
+        good = np.flatnonzero(count >= self.need[item])
+        row, item, band, lead, stop = (x[good] for x in (row, item, band, lead, stop))
+        new = np.ones(len(good), bool)  # bands nearer than the slack share a window
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | ((band[1:] - band[:-1]) * self.width[item[1:]] > 2 * self.limits[item[1:]] + 2)
+        new = np.flatnonzero(new)
+        last = np.append(new[1:], len(good))[: len(new)] - 1
+        row, item = row[new], item[new]
+        width, slack = self.width[item], self.limits[item] + 1
+        shift = int(self.sizes.max(initial=0)) + 1
+        a = np.maximum(band[new] * width - shift - slack, first[row])
+        b = np.minimum((band[last] + 2) * width - shift + self.sizes[item] + slack, first[row + 1] - 1)
+        grams, there, whole = lemma_codes(codes), np.zeros(1 << 16, bool), self.whole.tolist()
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        done: tuple[int, int, int] = (-1, -1, 0)  # row, item, the last window's last start
-        for row, item, start in hits.tolist():
-            n = self.sizes[item]
-            slack = int(n * self.max_share) + 2
-            if done[:2] == (row, item) and start <= done[2]:
-                continue  # the window looked at before has this one's slack inside
-            a = max(int(first[row]), start - slack)
-            b = min(int(first[row + 1]), start + n + 3 * slack)
-            done = (row, item, start + slack)
-            window = b" ".join(low[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)).decode("utf-8", "replace")
-            d = infix_distance(self.texts[item], window, int(self.max_share * len(self.texts[item])))
-            if d is not None and ((row, item) not in best or d < best[row, item][0]):
-                best[row, item] = (d, max(0, start - int(first[row])))
+        for g, (r, i, a, b) in enumerate(zip(row.tolist(), item.tolist(), a.tolist(), b.tolist(), strict=True)):
+            # an edit touches at most LEMMA of the item's grams, so ``whole`` of them at least are left
+            near = grams[a:b]
+            there[near] = True
+            left = np.count_nonzero(there[self.grams[i]])
+            there[near] = False
+            if left < whole[i]:
+                continue
+            begin = int(first[r])
+            d = infix_distance(self.texts[i], texts[r][a - begin : b - begin], int(self.limits[i]))
+            if d is not None and ((r, i) not in best or d < best[r, i][0]):
+                at = max(0, int(np.median(start[lead[new[g]] : stop[last[g]]])) - begin)
+                best[r, i] = d, texts[r].count(" ", 0, at)
         return [(r, i, d, s) for (r, i), (d, s) in sorted(best.items())]
 
 
+def calibrate(items: Sequence[tuple[object, str | None]], max_share: float, tables: int) -> list[tuple[int, int]]:
+    """(tables, votes needed) of each item; (0, 1) asks for the exact search."""
+    plan = [(0, 1)] * len(items)
+    texts = [code_points(plain((t or "").encode("utf-8", "replace"))) for _, t in items]
+    rng = np.random.default_rng(11)
+    left = [i for i, c in enumerate(texts) if int(max_share * len(c)) and len(c) >= 4 * GRAM]
+    for t in range(1, min(tables, len(ODD)) + 1):
+        below = []
+        for s in range(0, len(left), 256):
+            part = left[s : s + 256]
+            index = Index([items[i] for i in part], max_share, [(t, 1)] * len(part))
+            copies = [edited(texts[i], int(max_share * len(texts[i])), rng, k % 3 != 0, k % 3 == 1) for i in part for k in range(TRIALS)]
+            first = np.cumsum([0] + [len(c) + 1 for c in copies])
+            joined = np.concatenate([x for c in copies for x in (c, np.array([32], np.uint32))])
+            row, item, _, count, *_ = index.tallies(joined, first[:-1])
+            own = row // TRIALS == item
+            most = np.zeros(len(copies), np.int64)
+            np.maximum.at(most, row[own], count[own])
+            bar = (BAR * most.reshape(len(part), TRIALS).min(1)).astype(int)
+            for i, votes in zip(part, bar.tolist(), strict=True):
+                if votes >= LEAST_VOTES:
+                    plan[i] = (t, votes)
+                else:
+                    below.append(i)
+        left = below
+    return plan
+
+
 def item_blocks(items: DataFrame, block_items: int) -> Iterator[list[tuple[object, str | None]]]:
     blocks = max(1, -(-items.count() // block_items))
     for b in range(blocks):
@@ -208,8 +314,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_share: float = 0.15, table
 
 
 def _map(docs: DataFrame, block: list, schema: str, max_share: float, tables: int) -> DataFrame:
+    plan = calibrate(block, max_share, tables)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(block, max_share, tables)
+        index = Index(block, max_share, plan)
         for big in batches:
             for batch in N.slices(big, max_bytes=SLICE):
                 hits = index.search(batch.column("text"))
@@ -227,9 +335,10 @@ def _map(docs: DataFrame, block: list, schema: str, max_share: float, tables: in
 def drop_leaks(docs: DataFrame, items: DataFrame, max_share: float = 0.15, tables: int = 6, block_items: int = 20_000) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns stay."""
     for block in item_blocks(items, block_items):
+        plan = calibrate(block, max_share, tables)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block, max_share, tables)
+        def run(batches: Iterator[pa.RecordBatch], block=block, plan=plan) -> Iterator[pa.RecordBatch]:
+            index = Index(block, max_share, plan)
             for big in batches:
                 for batch in N.slices(big, max_bytes=SLICE):
                     keep = np.ones(batch.num_rows, bool)
