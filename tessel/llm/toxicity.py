@@ -10,9 +10,10 @@ keys' weights. Weights are fitted in numpy by proximal gradient steps on
       term in it is swapped for another of its group
     + ``l1`` * sum of absolute weights.
 
-A sentence with an identity term gives a pair for each other term of that group; sentences
-without one give pairs by standing in two terms of one group for one of their words, so
-that terms rare or absent in the labels are held at equal weight too. The L1 term leaves
+Each identity term of a sentence gives a pair for each other term of its group; up to
+``max_pairs`` sentences without one give pairs by standing in two terms of one group, the
+groups in turn, for one of their words, so that terms rare or absent in the labels are held
+too. Both sorts have half of the weight. The L1 term leaves
 weights on the few keys that carry the label, so a long text gathers no noise.
 
 Words are keyed by 64-bit hashes, not buckets: a key outside the training vocabulary has
@@ -27,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -86,27 +88,58 @@ def distinct_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def swap_pairs(texts: Sequence[str], groups: Sequence[Sequence[str]], max_pairs: int, seed: int = 7) -> list[tuple[str, str]]:
-    """Pairs of sentences that differ in one identity term only."""
+def swap_pairs(texts: Sequence[str], groups: Sequence[Sequence[str]], max_made: int, seed: int = 7) -> Iterator[tuple[str, str, bool]]:
+    """Pairs of sentences that differ in one identity term only, and whether the terms were put in.
+
+    Every term of every sentence is swapped; ``max_made`` bounds the pairs with terms put in.
+    """
     rng = np.random.default_rng(seed)
     group_of = {w: g for g in groups for w in g}
     term = re.compile(r"\b(" + "|".join(map(re.escape, sorted(group_of))) + r")\b", re.IGNORECASE)
-    found: list[tuple[str, str]] = []
-    made: list[tuple[str, str]] = []
+    made = 0
     for text in texts:
         for sentence in re.split(r"(?<=[.!?\n])\s+", text or ""):
-            if m := term.search(sentence):
+            found = False
+            for m in term.finditer(sentence):
+                found = True
                 for other in group_of[m[1].lower()]:
                     if other != m[1].lower():
-                        found.append((sentence, sentence[: m.start()] + other + sentence[m.end() :]))
-            elif len(made) < max_pairs and (words := sentence.split()):
+                        yield sentence, sentence[: m.start()] + other + sentence[m.end() :], False
+            if not found and made < max_made and (words := sentence.split()):
                 at = int(rng.integers(len(words)))
-                g = groups[len(made) % len(groups)]
+                g = groups[made % len(groups)]
                 a, b = rng.choice(len(g), 2, replace=False)
-                made.append(tuple(" ".join([*words[:at], g[k], *words[at + 1 :]]) for k in (a, b)))
-        if len(found) >= max_pairs:
-            break
-    return (found + made)[:max_pairs]
+                made += 1
+                yield *(" ".join([*words[:at], g[k], *words[at + 1 :]]) for k in (a, b)), True
+
+
+def differences(pairs: Iterator[tuple[str, str, bool]], vocabulary: np.ndarray, block: int = 500) -> tuple[np.ndarray, ...]:
+    """(column, row, sign) of the distinct differences of pairs, and the weight of each row.
+
+    Equal differences are one row, so memory doesn't grow with the pairs. Found pairs and
+    pairs with terms put in have half of the weight each.
+    """
+    counts: dict[tuple[int, ...], list[int]] = {}
+    while part := list(islice(pairs, block)):
+        net = []
+        for side, sign in ((0, 1), (1, -1)):
+            h, r = distinct_keys(pa.array([x[side] for x in part], pa.string()))
+            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+            ok = vocabulary[at] == h
+            net.append((r[ok] * len(vocabulary) + at[ok], sign))
+        left, right = net[0][0], net[1][0]
+        signed: list[list[int]] = [[] for _ in part]
+        for cells, sign in ((np.setdiff1d(left, right), 1), (np.setdiff1d(right, left), -1)):
+            for cell in cells.tolist():
+                signed[cell // len(vocabulary)].append(sign * (cell % len(vocabulary) + 1))
+        for key, (_, _, put_in) in zip(signed, part, strict=True):
+            counts.setdefault(tuple(key), [0, 0])[put_in] += 1
+    n = np.array(list(counts.values()) or [[0, 0]], float)
+    total = n.sum(0)
+    weight = (n / np.maximum(total, 1)).sum(1) / max(1, np.count_nonzero(total))
+    flat = np.array([x for key in counts for x in key], np.int64)
+    row = np.repeat(np.arange(len(counts)), [len(key) for key in counts]).astype(np.int64)
+    return np.abs(flat) - 1, row, np.sign(flat).astype(float), weight
 
 
 def fit(
@@ -120,9 +153,6 @@ def fit(
         p = (n1 + 1) / (n0 + n1 + 2)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))))
     hashes, rows = distinct_keys(pa.array(list(texts), pa.string()))
-    pairs = swap_pairs([t or "" for t in texts], groups, max_pairs)
-    left, left_row = distinct_keys(pa.array([a for a, _ in pairs], pa.string()))
-    right, right_row = distinct_keys(pa.array([b for _, b in pairs], pa.string()))
     vocabulary, count = np.unique(hashes, return_counts=True)
     terms = np.unique(next(word_keys(*N.utf8(pa.array([w for g in groups for w in g], pa.string()))))[0])
     # a key whose share hardly differs between the classes stays at zero under the L1 term
@@ -131,20 +161,16 @@ def fit(
     lively = (count >= min_rows) & (np.abs(share1 - share0) >= l1)
     vocabulary = np.union1d(vocabulary[lively], terms)
 
-    def columns(h, r, sign=1.0):
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        ok = vocabulary[at] == h
-        return at[ok], r[ok], np.full(ok.sum(), sign)
-
-    col, row, _ = columns(hashes, rows)
-    parts = [columns(left, left_row), columns(right, right_row, -1.0)]
-    pcol, prow, psign = (np.concatenate(x) for x in zip(*parts, strict=True))
-    size, n_pairs = len(vocabulary), max(1, len(pairs))
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    ok = vocabulary[at] == hashes
+    col, row = at[ok], rows[ok]
+    pcol, prow, psign, share = differences(swap_pairs([t or "" for t in texts], groups, max_pairs), vocabulary)
+    size, n_pairs = len(vocabulary), len(share)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     # accelerated proximal gradient with a diagonal step from each word's share of rows
     width = weight * (np.bincount(row, minlength=len(y)) + 1) / 4
     curve = np.bincount(col, width[row], size) + 1e-6
-    curve += pair_weight * 2 / n_pairs * np.bincount(pcol, np.bincount(prow, minlength=n_pairs)[prow], size)
+    curve += pair_weight * 2 * np.bincount(pcol, (share * np.bincount(prow, minlength=n_pairs))[prow], size)
     w = v = np.zeros(size)
     b = vb = 0.0
     t = 1.0
@@ -153,7 +179,7 @@ def fit(
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         grad = np.bincount(col, g[row], size)
         change = np.bincount(prow, v[pcol] * psign, n_pairs)
-        grad += pair_weight * 2 / n_pairs * np.bincount(pcol, change[prow] * psign, size)
+        grad += pair_weight * 2 * np.bincount(pcol, (share * change)[prow] * psign, size)
         new = v - grad / curve
         new = np.sign(new) * np.maximum(np.abs(new) - l1 / curve, 0)
         nb = vb - g.sum() / width.sum()
@@ -173,7 +199,7 @@ def fit(
     np.add.at(d, (prow, pcol), psign)
     ridge = np.full(size + 1, 3e-5)
     ridge[size] = 1e-6
-    curve = 2 * pair_weight / n_pairs * d.T @ d + np.diag(ridge)
+    curve = 2 * pair_weight * d.T @ (d * share[:, None]) + np.diag(ridge)
     w = np.append(w, b)
     for _ in range(25):  # Newton steps on the few keys kept
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
