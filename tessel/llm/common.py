@@ -5,12 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize
+
+__all__ = ["connected_components", "discard", "held_out_bucket", "labelled_sample", "load", "materialize", "release"]
+
 
 def release() -> None:
     """Hand freed memory of the driver's Python back to the system (where that is possible)."""
@@ -23,27 +25,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as Parquet below the shared folder and read it back.
-
-    Cuts the lineage: later jobs and retries after a lost executor start from the
-    written files, which every executor can read.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tessel/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out_bucket(col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
@@ -81,7 +62,7 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
 
     Least-label propagation with pointer jumping; each round is one joined aggregate with
     map-side combining, written to the shared folder. Star-shaped inputs end in a few
-    rounds, a path of length L in about log L.
+    rounds, a path of length L in about log L. The caller discards the labels.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.where("a is not null and b is not null"), f"{tag}-edges")
@@ -105,6 +86,10 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
             ),
             f"{tag}-labels",
         )
+        discard(labels)
+        moved = step.where("moved").limit(1).count() > 0
         labels = step.select("node", "label")
-        if step.where("moved").limit(1).count() == 0:
+        labels.written_path = step.written_path
+        if not moved:
+            discard(both)
             return labels
