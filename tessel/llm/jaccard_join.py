@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .common import connected_components, materialize
+from .common import connected_components, discard, materialize
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
@@ -294,10 +294,12 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
     members = materialize(
         entries.join(met, "key").groupBy("key", "sig").agg(*[F.min(c).alias(c) for c in ("n", "pos", *ODDS)]), "jaccard-members"
     )
+    discard(entries)
     least = sets_of.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     counted = rows.where("kind = 0").join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("blob").alias("blob"))
     counted = materialize(counted, "jaccard-counts")
     links, labels, sets = None, None, None
+    fetched, linked = [], []
     for turn in range(star_rounds + 1):
         active = members.withColumn("label", F.col("sig"))
         if labels is not None:
@@ -321,17 +323,23 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
         if sets is not None:
             needed = needed.join(sets.select("sig"), "sig", "left_anti")
         new = materialize(fetch_sets(docs, least.join(needed, "sig", "left_semi"), words), "jaccard-sets")
+        fetched.append(new)
         sets = new if sets is None else sets.unionByName(new)
         found = materialize(verified(pairs, sets, num, den), "jaccard-links")
+        discard(pairs)
+        linked.append(found)
         if links is not None and found.limit(1).count() == 0:
             continue
         links = found if links is None else links.unionByName(found)
-        labels = connected_components(links, "jaccard")
+        before, labels = labels, connected_components(links, "jaccard")
+        discard(before)
+    discard(members, counted, *fetched, *linked)
     by_sig = sets_of.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     labelled = by_sig.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     labelled = materialize(labelled, "jaccard-labelled")
     joined = labelled.join(labels.select(F.col("label")).distinct(), "label", "left_semi").groupBy("label").agg(F.min("least").alias("component"))
-    by_sig = labelled.join(joined, "label", "left").select("sig", F.coalesce("component", "least").alias("component"))
+    by_sig = materialize(labelled.join(joined, "label", "left").select("sig", F.coalesce("component", "least").alias("component")), "jaccard-components")
+    discard(labelled, labels)
     return sets_of.join(by_sig, "sig", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
@@ -341,13 +349,17 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group: the row of the least doc_id.
 
-    Rows without a doc_id stay (they cannot be told apart from the group's other rows).
+    Rows without a doc_id stay (they cannot be told apart from the group's other rows). Of
+    rows that share the doc_id kept, the one of the least hash over all columns stays.
+    Columns may have any names.
     """
     from pyspark.sql import Window
 
+    spare = lambda name: name if name not in docs.columns else spare(name + "_")
+    own, row = spare("least_id"), spare("row_of_id")
     found = components(docs.select("doc_id", "text"), **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col(own), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    once = with_id.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    once = with_id.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
     return once.unionByName(docs.where("doc_id is null"))

@@ -2,19 +2,24 @@
 
 Each line of each document goes down a tree of fixed depth: its token count, then its
 leading tokens, with tokens that hold a digit generalised to ``<*>`` first. In a leaf with
-several line texts, a position whose commonest token covers less than ``constant_share`` of
-the leaf's lines is a variable field; the leaf's template is its constant tokens with
-``<*>`` between, provided at least ``min_constant`` of the positions are constant. A line
-that fits its leaf's template belongs to it, any other line is a template by itself.
-
-A template found in at least ``min_docs`` different texts recurs and its lines are dropped
-from every document. Two rules keep clean documents: exact copies of a whole text count
-once, and a document that would lose more than ``max_loss`` of its characters is a copy of
-others rather than a page with boilerplate; it stays whole, for document deduplication.
-
-Lines are cut at newlines; blank lines and lines of variable fields alone are kept. Null text: stays null, no lines. Empty
-text: one blank line. Rows that share a doc_id (or have none) lose the union of their
-templates. Order of lines is kept; a document without dropped lines is returned unchanged.
+several line texts, how often a token stands at its place tells constants from variable
+fields: at a level, tokens found there in fewer lines than the level are fields, and what is
+left of a line is its template. Levels rise from the least number of texts by LEVEL_STEP
+to the size of the largest leaf, so one leaf can hold several templates, rare ones beside
+frequent ones, and fields whose values recur. A template needs ``min_constant`` of its
+positions constant, and half of those below its path through the tree. Positions are rows,
+so lines may have any number of tokens.
+
+A template found in at least ``min_docs`` different texts (``min_docs_long`` for lines of
+``long_tokens`` and more) recurs, and its lines are dropped from every document. Exact copies
+of a whole text count once. A text whose recurring lines make up more than ``copy_share`` of
+it, and more than that in common with one other text, is a copy of that text rather than a
+page with boilerplate: it is marked ``is_copy`` and stays whole, for document deduplication.
+
+Lines are cut at newlines; blank lines and lines of variable fields alone are kept. Null
+text: stays null, no lines. Empty text: one blank line. Rows with equal texts lose the same
+lines, whatever their doc_id; a null doc_id is like any other. Order of lines is kept; a
+document without dropped lines is returned unchanged. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 VARIABLE = r"[^ ]*[0-9][^ ]*"
-MAX_FIELDS = 64  # positions are generalised in lines of up to so many tokens
+LEVEL_STEP = 8
 
 
 def masked(line: Column) -> Column:
@@ -35,103 +40,126 @@ def masked(line: Column) -> Column:
     return F.when(trimmed.rlike("[0-9]"), F.regexp_replace(trimmed, VARIABLE, "<*>")).otherwise(trimmed)
 
 
-def recurring_lines(
-    docs: DataFrame, min_docs: int = 10, depth: int = 3, constant_share: float = 0.8,
-    min_constant: float = 0.7, min_tokens: int = 4,
-) -> tuple[DataFrame, DataFrame]:
-    """(lines of documents as (doc_id, copy, key, chars), recurring keys); keys hash masked lines."""
-    lines = (
-        docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
-        .select("doc_id", "copy", F.explode(F.split("text", "\n")).alias("line"))
-        .select("doc_id", "copy", F.length("line").alias("chars"), masked(F.col("line")).alias("masked"))
-        .where(F.col("masked").rlike("[^<*> ]"))  # a line of variable fields alone has no template
+def lines_of(docs: DataFrame, depth: int = 3) -> DataFrame:
+    """(copy, whole, pos, chars, masked, n_tokens, key, leaf) of every line with a token of its own.
+
+    ``copy`` hashes the text, ``key`` the masked line, ``leaf`` its path through the tree.
+    """
+    return (
+        docs.select(F.xxhash64("text").alias("copy"), F.length("text").alias("whole"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("copy", "whole", "pos", F.length("line").alias("chars"), masked(F.col("line")).alias("masked"))
         .withColumn("n_tokens", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1)
         .withColumn("key", F.xxhash64("masked"))
         .withColumn("leaf", F.xxhash64("n_tokens", F.substring_index("masked", " ", depth)))
     )
-    small = materialize(lines.select("doc_id", "copy", "chars", "key", "leaf", "n_tokens"), "lines")
-    pairs = small.select("leaf", "key", "n_tokens", "copy").distinct()
-    by_key = materialize(
-        pairs.groupBy("leaf", "key", "n_tokens").agg(F.count("*").alias("n")), "line-keys"
-    )
-    exact = by_key.where(F.col("n") >= min_docs).select("key")
-    # leaves that recur although no more than part of their lines is one text
-    leaves = (
-        by_key.where(F.col("n_tokens").between(min_tokens, MAX_FIELDS))
-        .groupBy("leaf")
-        .agg(F.sum("n").alias("leaf_docs"), F.count("*").alias("texts"), F.max("n").alias("most"))
-        .where((F.col("leaf_docs") >= min_docs) & (F.col("texts") > 1))
-        .select("leaf", "leaf_docs")
-    )
-    leaves = materialize(leaves, "line-leaves")
-    members = by_key.join(leaves, "leaf").select("leaf", "key", "n", "leaf_docs")
-    texts = (
-        lines.where(F.col("n_tokens").between(min_tokens, MAX_FIELDS))
-        .join(leaves.select("leaf"), "leaf", "left_semi")
-        .select("leaf", "key", "masked").distinct()  # hashed; a least string by key would sort all lines
+
+
+def general_keys(lines: DataFrame, by_key: DataFrame, need: Column, depth: int, min_docs: int, min_constant: float, min_tokens: int) -> DataFrame:
+    """Keys of the lines that fit a recurring template with variable fields."""
+    leaves = materialize(
+        by_key.where(F.col("n_tokens") >= min_tokens).groupBy("leaf", "n_tokens")
+        .agg(F.sum("n").alias("leaf_docs"), F.count("*").alias("texts"))
+        .where((F.col("leaf_docs") >= need) & (F.col("texts") > 1)).select("leaf", "leaf_docs"),
+        "line-leaves",
     )
-    rows = materialize(
-        texts.join(members, ["leaf", "key"]).select("leaf", "key", "n", "leaf_docs", F.split("masked", " ").alias("tokens")),
+    texts = materialize(  # hashed; a least string by key would sort all lines
+        lines.select("leaf", "key", "masked").join(leaves.select("leaf"), "leaf", "left_semi").distinct()
+        .join(by_key, ["leaf", "key"]).select("leaf", "key", "n", "n_tokens", F.split("masked", " ").alias("tokens")),
         "line-leaf-texts",
     )
-    fields = (
-        rows.select("leaf", "n", "leaf_docs", F.posexplode("tokens").alias("pos", "token"))
-        .groupBy("leaf", "pos", "token", "leaf_docs")
-        .agg(F.sum("n").alias("n"))
-        .where((F.col("n") >= constant_share * F.col("leaf_docs")) & (F.col("token") != "<*>"))
-        .groupBy("leaf")
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("constant"))  # at most MAX_FIELDS
-    )
-    fits = F.forall(F.map_entries("constant"), lambda e: F.element_at("tokens", e["key"] + 1) == e["value"])
-    fitted = (
-        rows.join(fields, "leaf")
-        .where((F.size("constant") >= min_constant * F.size("tokens")) & fits)
-        .select("leaf", "key", "n")
+    placed = texts.select("leaf", "key", "n", F.posexplode("tokens").alias("pos", "token")).where("token <> '<*>'")
+    often = placed.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("often")).where(F.col("often") >= min_docs)
+    known = placed.join(often, ["leaf", "pos", "token"]).groupBy("leaf", "key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "often"))).alias("often"))
+    largest = leaves.agg(F.max("leaf_docs")).first()[0] or 0
+    levels = [min_docs]
+    while levels[-1] * LEVEL_STEP <= largest:
+        levels.append(levels[-1] * LEVEL_STEP)
+    level = F.explode(F.array(*[F.lit(x) for x in levels])).alias("level")
+    constant = lambda tok, i: F.when(F.coalesce(F.element_at("often", i), F.lit(0)) >= F.col("level"), tok).otherwise("<*>")
+    fixed = F.filter("template", lambda t: t != "<*>")
+    templates = (
+        texts.join(known, ["leaf", "key"]).select("leaf", "key", "n", "n_tokens", "tokens", "often", level)
+        .withColumn("template", F.transform("tokens", constant))
+        .withColumn("fixed", F.size(fixed))
+        .where(
+            (F.col("fixed") >= min_constant * F.col("n_tokens")) & (F.col("fixed") < F.col("n_tokens"))
+            & (F.col("fixed") - depth >= 0.5 * (F.col("n_tokens") - depth))
+        )
+        .select("key", "n", "n_tokens", F.xxhash64("leaf", "template").alias("template")).distinct()
     )
-    fitted = materialize(fitted, "line-fitted")
+    templates = materialize(templates, "line-templates")
     frequent = (
-        fitted.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("texts"))
-        .where((F.col("docs") >= min_docs) & (F.col("texts") > 1)).select("leaf")
+        templates.groupBy("template", "n_tokens").agg(F.sum("n").alias("docs"), F.count("*").alias("texts"))
+        .where((F.col("docs") >= need) & (F.col("texts") > 1)).select("template")
+    )
+    fitted = templates.join(frequent, "template", "left_semi").select("template", "key", "n_tokens")
+    spread = (  # a text with two lines of one template counts once
+        lines.select("key", "copy").join(fitted, "key").select("template", "n_tokens", "copy").distinct()
+        .groupBy("template", "n_tokens").agg(F.count("*").alias("docs")).where(F.col("docs") >= need)
     )
-    # a text with two lines of one template counts once
-    spread = (
-        small.select("key", "copy")
-        .join(fitted.join(frequent, "leaf", "left_semi").select("leaf", "key"), "key")
-        .select("leaf", "copy").distinct()
-        .groupBy("leaf").agg(F.count("*").alias("docs"))
-        .where(F.col("docs") >= min_docs)
+    keys = materialize(fitted.join(spread.select("template"), "template", "left_semi").select("key").distinct(), "line-general")
+    discard(leaves, texts, templates)
+    return keys
+
+
+def recurring_lines(
+    docs: DataFrame, min_docs: int = 10, min_docs_long: int = 5, long_tokens: int = 50, depth: int = 3,
+    min_constant: float = 0.7, min_tokens: int = 4,
+) -> DataFrame:
+    """(copy, whole, pos, chars, key) of the lines of recurring templates, each text once."""
+    lines = materialize(lines_of(docs, depth).where(F.col("masked").rlike("[^<*> ]")), "lines")  # fields alone are no template
+    need = F.when(F.col("n_tokens") >= long_tokens, min_docs_long).otherwise(min_docs)
+    by_key = materialize(
+        lines.select("leaf", "key", "n_tokens", "copy").distinct().groupBy("leaf", "key", "n_tokens").agg(F.count("*").alias("n")), "line-keys"
     )
-    general = fitted.join(spread, "leaf", "left_semi").select("key")
-    return small, materialize(exact.unionByName(general).distinct(), "line-recurring")
+    general = general_keys(lines, by_key, need, depth, min(min_docs, min_docs_long), min_constant, min_tokens)
+    keys = by_key.where(F.col("n") >= need).select("key").unionByName(general).distinct()
+    found = materialize(lines.select("copy", "whole", "pos", "chars", "key").join(keys, "key", "left_semi").distinct(), "line-recurring")
+    discard(lines, by_key, general)
+    return found
 
 
-def drop_recurring_lines(docs: DataFrame, max_loss: float = 0.5, **options) -> DataFrame:
-    """``docs`` without the lines of recurring templates, and two columns:
+def lost_lines(found: DataFrame, copy_share: float) -> DataFrame:
+    """(copy, gone, is_copy): the numbers of each text's recurring lines, and whether it copies another.
 
-    ``dropped_lines`` and ``n_lines`` (long). Other columns are unchanged.
+    Similarity is taken to the first and the last text, by hash, that has a line too.
     """
-    small, recurring = recurring_lines(docs.select("doc_id", "text"), **options)
-    flagged = small.join(recurring, "key").select("doc_id", "key", "copy")
-    gone = flagged.groupBy("doc_id").agg(F.collect_set("key").alias("__gone"))  # at most the lines of its texts
-    split = F.split("text", "\n")
-    keeps = F.filter(split, lambda line: ~F.array_contains(F.col("__gone"), F.xxhash64(masked(line))))
-    joined = (
-        docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-        .withColumn("__kept", F.when(F.col("__gone").isNotNull(), keeps))
-        .withColumn("__short", F.array_join("__kept", "\n"))
-        .withColumn(
-            "__cut",
-            F.coalesce(
-                (F.size("__kept") < F.size(split))
-                & (F.length("__short") + (F.size(split) - F.size("__kept")) >= (1 - max_loss) * F.length("text")),
-                F.lit(False),
-            ),
-        )
+    lost = found.groupBy("copy").agg(F.collect_list("pos").alias("gone"), F.sum(F.col("chars") + 1).alias("lost"), F.max("whole").alias("whole"))  # a text's lines
+    lost = materialize(lost, "line-lost")
+    heavy = lost.where(F.col("lost") > copy_share * F.col("whole")).select("copy")
+    ends = found.groupBy("key").agg(F.min("copy").alias("a"), F.max("copy").alias("b"))
+    shared = (
+        found.join(heavy, "copy", "left_semi").select("copy", "whole", "chars", "key").join(ends, "key")
+        .select("copy", "whole", "chars", F.explode(F.array_distinct(F.array("a", "b"))).alias("other")).where("copy <> other")
+        .groupBy("copy", "whole", "other").agg(F.sum(F.col("chars") + 1).alias("common"))
+        .groupBy("copy").agg(F.max(F.col("common") > copy_share * F.col("whole")).alias("is_copy"))
     )
-    n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    columns = [F.when(F.col("__cut"), F.col("__short")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    out = materialize(lost.join(shared, "copy", "left").select("copy", "gone", F.coalesce("is_copy", F.lit(False)).alias("is_copy")), "line-gone")
+    discard(lost)
+    return out
+
+
+def drop_recurring_lines(docs: DataFrame, copy_share: float = 0.5, **options) -> DataFrame:
+    """``docs`` without the lines of recurring templates, and three columns:
+
+    ``dropped_lines`` and ``n_lines`` (long), and ``is_copy``; they replace columns of these
+    names. Other columns are unchanged and may have any names.
+    """
+    found = recurring_lines(docs.select("text"), **options)
+    lost = lost_lines(found, copy_share)
+    discard(found)
+    spare = lambda name: name if name not in docs.columns else spare(name + "_")
+    copy, gone, mark = (spare(x) for x in ("copy_of_text", "gone_lines", "is_a_copy"))
+    joined = docs.join(lost.select(F.col("copy").alias(copy), F.col("gone").alias(gone), F.col("is_copy").alias(mark)), F.xxhash64("text") == F.col(copy), "left")
+    split = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    short = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
+    cut = F.col(gone).isNotNull() & ~F.col(mark) & F.col("text").isNotNull()
+    columns = [F.when(cut, short).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ADDED]
     return joined.select(
-        *columns,
-        F.when(F.col("__cut"), n_lines - F.size("__kept")).otherwise(0).cast("long").alias("dropped_lines"),
-        n_lines.alias("n_lines"),
+        *columns, F.when(cut, F.size(gone)).otherwise(0).cast("long").alias("dropped_lines"),
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(mark, F.lit(False)).alias("is_copy"),
     )
+
+
+ADDED = ("dropped_lines", "n_lines", "is_copy")

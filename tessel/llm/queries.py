@@ -84,7 +84,7 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of recurring templates."""
     done = line_templates.drop_recurring_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
-        "doc_id", "n_lines", "dropped_lines", F.length("text").cast("long").alias("kept_chars"),
+        "doc_id", "n_lines", "dropped_lines", "is_copy", F.length("text").cast("long").alias("kept_chars"),
         F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"), "text",
     )
 
