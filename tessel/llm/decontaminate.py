@@ -40,7 +40,7 @@ from . import textnum as N
 
 GRAM = 4
 STEPS = 8  # a power of two, at most 8
-LEAST_VOTES = 4
+LEAST_VOTES = 3
 BAR = 0.8
 TRIALS = 12  # copies of an item to calibrate by, by thirds: edits at random places, at even distances, the same by replacement only
 LONGEST_PIECE = 12
@@ -92,12 +92,11 @@ def walk_keys(symbols: np.ndarray, table: int) -> np.ndarray:
     runs, most = [(bits >> j) & 1 for j in range(STEPS)], 1
     while len(runs) > 1:
         runs, most = [moved(a, b, most) for a, b in zip(runs[::2], runs[1::2], strict=True)], 2 * most
-    end = runs[0] + np.arange(len(symbols))
-    key = (symbols ^ U64(table + 1)) * U64(0x9FB21C651E98DF25)
-    key ^= key >> U64(31)
-    key ^= symbols.take(end, mode="clip")  # a walk may end past the last one
+    end = np.arange(len(symbols), dtype=np.int32)
+    end += runs[0]
+    key = symbols ^ U64(table + 1)
     key *= U64(0x9FB21C651E98DF25)
-    key ^= key >> U64(31)
+    key += symbols.take(end, mode="clip")  # symbols are hashes; a walk may end past the last one
     return key
 
 
@@ -161,6 +160,7 @@ class Index:
         self.need = np.array([votes for _, votes in plan], np.int64)
         self.grams = [lemma_codes(code_points(t))[: max(0, len(t) - LEMMA + 1)] for t in self.texts]
         self.whole = np.array([len(g) for g in self.grams], np.int64) - LEMMA * self.limits
+        self.distinct = np.array([len(np.unique(g)) for g in self.grams], np.int64)
         self.width = self.limits // BANDS + 1
         found: dict[tuple[str, int], list] = defaultdict(list)
         for i, (text, (tables, _)) in enumerate(zip(self.texts, plan, strict=True)):
@@ -228,6 +228,25 @@ class Index:
         stop = np.where(both, np.append(end[1:], 0), end)
         return row, item, band, stop - lead, lead, stop, start
 
+    def alike(self, grams: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of the windows [a, b) that have as many of their item's grams as edits must leave.
+
+        All windows of an item at once; a gram that comes again in a window counts again.
+        """
+        order, mine, keep = np.argsort(item, kind="stable"), np.zeros(1 << 16, bool), []
+        bounds = np.append(np.flatnonzero(np.diff(item[order], prepend=-1)), len(order))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = order[lo:hi]
+            i = int(item[own[0]])
+            size = b[own] - a[own]
+            end = np.cumsum(size)
+            place = np.repeat(a[own] - (end - size), size) + np.arange(end[-1])
+            mine[self.grams[i]] = True
+            met = np.concatenate([[0], np.cumsum(mine[grams[np.minimum(place, len(grams) - 1)]])])
+            mine[self.grams[i]] = False
+            keep.append(own[met[end] - met[end - size] >= self.distinct[i] - LEMMA * self.limits[i]])
+        return np.sort(np.concatenate(keep)) if keep else order
+
     def search(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, edit distance, first word) of every row's best match of each item."""
         data, offsets = N.utf8(column)
@@ -251,7 +270,8 @@ class Index:
         b = np.minimum((band[last] + 2) * width - shift + self.sizes[item] + slack, first[row + 1] - 1)
         grams, there, whole = lemma_codes(codes), np.zeros(1 << 16, bool), self.whole.tolist()
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for g, (r, i, a, b) in enumerate(zip(row.tolist(), item.tolist(), a.tolist(), b.tolist(), strict=True)):
+        near_enough = self.alike(grams, item, a, b)
+        for g, r, i, a, b in zip(near_enough.tolist(), row[near_enough].tolist(), item[near_enough].tolist(), a[near_enough].tolist(), b[near_enough].tolist(), strict=True):
             # an edit touches at most LEMMA of the item's grams, so ``whole`` of them at least are left
             near = grams[a:b]
             there[near] = True
