@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessel.llm import audio_fingerprint, decontaminate, jaccard_join, line_templates, lm_scoring, quality, secrets, sentencepiece_codec, toxicity, warc_fixity
+from tessel.llm import audio_fingerprint, decontaminate, jaccard_join, line_templates, quality, secrets, sentencepiece_codec, toxicity, warc_fixity
 
 SCHEMA = "doc_id long, text string, key long, label string"
 WORDS = [f"w{k}" for k in range(400)]
@@ -91,33 +91,6 @@ def test_sentencepiece_round_trip(docs, rows):
     assert all(r.decoded == r.text for r in sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(docs)).collect())
 
 
-def test_lm_base_and_mixture(spark, docs, rows):
-    import math
-    from collections import Counter
-
-    admit = F.col("doc_id") % 2 == 0
-    out = lm_scoring.score_documents(docs, admit, top_words=8, steps=5).collect()
-    tokens = lambda t: [*words_of(t), None]
-    count = Counter(w for i, t, *_ in rows if i is not None and i % 2 == 0 for w in tokens(t))
-    n, v = sum(count.values()), len(count)
-    want = sorted((len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens(t)), 5)) for _, t, *_ in rows)
-    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 5)) for r in out) == want
-    assert all(r.train_tokens == n and r.score >= r.base_score + r.n_tokens * math.log10(0.8) - 1e-6 for r in out)
-
-
-def test_lm_subwords_sum_to_one():
-    size = lm_scoring.RADIX**3
-    ids = np.arange(40) * 11
-    net = lm_scoring.fit(ids, np.array([40]), size, size - 1, dim=4, steps=3)
-    total = 0.0
-    for start in range(0, size, 5000):
-        n = min(5000, size - start)
-        texts = np.stack([np.full(n, 5), np.arange(start, start + n)], 1).ravel()
-        lp = net.log_probs(lm_scoring.blocks_of(texts, np.full(n, 2), size - 1))
-        total += np.exp(lp[1::2]).sum()
-    assert abs(total - 1) < 1e-3
-
-
 def test_line_templates(spark):
     common = "please read our terms of service now"
     rows = [(k, f"{prose(k, 12)}\n{common}\nvisit number {k} of this nice page today\n{prose(k + 100, 12)}") for k in range(15)] + [(90, None), (91, ""), (92, common)]
