@@ -18,6 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_below(docs, model, MAX_TOXICITY)
 
 
+@stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of recurring templates; ``n_chars`` follows the text."""
     done = line_templates.drop_recurring_lines(docs)
@@ -25,16 +26,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.withColumn("n_chars", changed).select(docs.columns)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 of 100 five-word shingles."""
     return jaccard_join.keep_one(docs, words=5, num=80, den=100)
 
 
+@stage
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ``benchmark``."""
     return decontaminate.drop_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids and the check that these decode to the text."""
     return sentencepiece_codec.encode_documents(docs, check="round_trip")
@@ -48,11 +52,13 @@ STAGES = [
     ("SentencePiece", encode),
 ]
 
-ORACLE_SQL = None  # SQL has no fitted classifier; tests hold the rows against plain Python
+ORACLE_SQL = None  # SQL has no fitted classifier; tests/llm/test_pipeline.py holds the rows against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    docs, written = load(spark, sf_dir, "documents"), None
+    for name, one in STAGES[:-1]:
+        docs = storage.materialize(one(spark, docs, sf_dir), name.replace(" ", "-"))
+        storage.discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
