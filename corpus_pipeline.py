@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+import functools
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel import storage
 from tessel.llm import decontaminate, jaccard_join, line_templates, sentencepiece_codec, toxicity
-from tessel.llm.common import held_out_bucket, load, materialize
+from tessel.llm.common import held_out_bucket, load
 
 MAX_TOXICITY = 0.7
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_tables = threading.local()
+
+
+def stage(f: Stage) -> Stage:
+    """A stage that first removes the tables which the stage before left in this thread.
+
+    Nothing reads these any more: a stage gets the rows that its predecessor has written.
+    """
 
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.release(getattr(_tables, "paths", []))
+        with storage.owned([]) as _tables.paths:
+            return f(spark, docs, sf_dir)
 
+    return run_stage
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below MAX_TOXICITY; fitted on the labelled rows of ``documents``."""
     labelled = load(spark, sf_dir, "documents")
