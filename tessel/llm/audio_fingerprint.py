@@ -8,10 +8,14 @@ frame, each comparison is quantised to two Gray-coded bits, and sixteen of them
 
 Recordings with equal fingerprints are one class, named by its least id. Queries are aligned
 against all classes: equal integers vote for an offset, the offset with the most votes (the
-least on ties) is verified by the share of differing bits over the whole overlap.
+least on ties) is verified by the share of differing bits over the whole overlap. The integer
+of silence is in every pause of every recording and says nothing of where they line up, so
+it casts no vote; its frames count in the overlap like any other.
 
 Null audio has no fingerprint and no class. Audio too short for one frame has an empty
-fingerprint, is a class by itself and matches nothing.
+fingerprint, is a class by itself and matches nothing. Rows with equal audio, whatever their
+media_id, share a class; media_ids may repeat or be null (a class of null ids alone has none
+and is not searched). An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,6 +102,9 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
+SILENCE = fingerprint(np.zeros(FRAME + (WIDTH - 1) * HOP, np.float32))[0]
+
+
 def fingerprints(media: DataFrame, audio: str = "audio", key: str = "media_id") -> DataFrame:
     """(key, fp) of every row; fp holds the integers as little-endian bytes, null without audio."""
 
@@ -139,14 +146,35 @@ def sonified(vectors: DataFrame, note_samples: int = 256) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, f"media_id {kind}, audio binary")
 
 
+def rerecorded(media: DataFrame, skip: int = 10 * HOP, gain: float = 0.7, noise: float = 50.0) -> DataFrame:
+    """(media_id, audio) of a second recording of each row: begun late, softer, with noise; ids are -1 - id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, batch.num_rows, 64):
+                part = batch.slice(row, 64)
+                ids, out = part.column("media_id").to_pylist(), []
+                for i, x in zip(ids, part.column("audio").to_pylist(), strict=True):
+                    if x is None:
+                        out.append(None)
+                        continue
+                    own = np.frombuffer(x, "<i2")[skip:] * gain
+                    out.append(np.clip(own + np.random.default_rng(abs(i or 0)).normal(0, noise, len(own)), -32768, 32767).astype("<i2").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([None if i is None else -1 - i for i in ids], part.column("media_id").type), pa.array(out, pa.binary())], ["media_id", "audio"])
+
+    return media.select("media_id", "audio").mapInArrow(run, f"media_id {media.schema['media_id'].dataType.simpleString()}, audio binary")
+
+
 def _entries(fps: DataFrame) -> DataFrame:
     """(class_id, word, at): the integers of each class with their frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [np.frombuffer(x, "<i4") for x in batch.column("fp").to_pylist()]
+            at = [np.flatnonzero(w != SILENCE.astype(np.int32)).astype(np.int32) for w in words]
+            words = [w[k] for w, k in zip(words, at, strict=True)]
             n = np.array([len(w) for w in words], np.int64)
-            at = np.concatenate([np.arange(k, dtype=np.int32) for k in n]) if len(n) else np.zeros(0, np.int32)
+            at = np.concatenate(at) if len(n) else np.zeros(0, np.int32)
             own = batch.column("class_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
             yield pa.RecordBatch.from_arrays([own, pa.array(np.concatenate(words) if words else np.zeros(0, np.int32)), pa.array(at)], ["class_id", "word", "at"])
 
@@ -196,10 +224,11 @@ def align(classes: DataFrame, queries: DataFrame, min_votes: int = 4, min_overla
 
 
 def search(media: DataFrame, asked: Column, **options) -> DataFrame:
-    """(media_id, class_id, n_frames, fp_sha256, is_query, matches) of every row.
+    """(media_id, class_id, n_frames, fp_sha256, is_query, n_matches, match_id, ...) of every row.
 
-    ``asked`` is the condition on media_id of the queries. ``matches`` lists the classes
-    that a query's class aligns with: (match_id, offset, votes, overlap, bit_error).
+    ``asked`` is the condition on media_id of the queries. ``n_matches`` counts the classes
+    that a query's class aligns with; of the one with the least bit error (then least id),
+    match_id, offset, votes, overlap and bit_error follow. ``align`` gives all pairs.
     """
     fps = fingerprints(media).withColumn("digest", F.sha2("fp", 256)).withColumn("is_query", F.coalesce(asked, F.lit(False)))
     fps = materialize(fps, "audio-fp")
@@ -209,10 +238,11 @@ def search(media: DataFrame, asked: Column, **options) -> DataFrame:
     )
     named = grouped.where("class_id is not null")
     links = align(named, named.where("asked"), **options)
-    listed = links.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("match_id", "offset", "votes", "overlap", "bit_error"))).alias("matches"))
-    by_digest = grouped.select("digest", "class_id").join(listed, "class_id", "left")
+    best = links.groupBy("class_id").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_error", "match_id", "offset", "votes", "overlap")).alias("best"))
+    by_digest = grouped.select("digest", "class_id").join(best, "class_id", "left")
     return fps.join(by_digest, "digest", "left").select(
         "media_id", F.when(F.length("fp") > 0, F.col("class_id")).when(F.col("fp").isNotNull(), F.col("media_id")).alias("class_id"),
         F.coalesce(F.length("fp") / 4, F.lit(0)).cast("long").alias("n_frames"), F.col("digest").alias("fp_sha256"), "is_query",
-        F.when(F.col("is_query"), F.coalesce("matches", F.array().cast(listed.schema["matches"].dataType))).alias("matches"),
+        F.when(F.col("is_query"), F.coalesce("n_matches", F.lit(0))).alias("n_matches"),
+        *[F.when(F.col("is_query"), F.col(f"best.{c}")).alias(c) for c in ("match_id", "offset", "votes", "overlap", "bit_error")],
     )

@@ -14,20 +14,25 @@ from .sql import SQL
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def replica_of(index: DataFrame) -> DataFrame:
-    """A second copy of the archives with known faults, by page id: altered, lost, added."""
+def replica_index(pages: DataFrame) -> DataFrame:
+    """The index of a second copy of the archives with known faults, by page id, hashed from its own bytes.
+
+    Records are altered in a byte, lost, or there twice.
+    """
     place = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(500))
-    kept = index.where(place != 77).select(
-        "archive", "offset", F.when(place == 3, F.sha2(F.concat("leaf", F.lit("x")), 256)).otherwise(F.col("leaf")).alias("leaf")
-    )
-    added = index.where(place == 200).select("archive", (F.col("offset") + 1).alias("offset"), "leaf")
-    return kept.unionByName(added)
+    sound = warc_fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    stored = F.when(place == 3, F.overlay(sound, F.lit("0"), F.lit(8))).otherwise(sound)
+    index = warc_fixity.archive_index(pages, record=stored)
+    kept = index.where(place != 77).select("archive", "offset", "leaf")
+    return kept.unionByName(index.where(place == 200).select("archive", (F.col("offset") + 1).alias("offset"), "leaf"))
 
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every WARC record of ``pages`` with what the audit of a damaged replica says of it."""
-    index = materialize(warc_fixity.archive_index(load(spark, sf_dir, "pages")), "warc-index")
-    return warc_fixity.audit(index, replica_of(index)).select(
+    pages = load(spark, sf_dir, "pages")
+    index = materialize(warc_fixity.archive_index(pages), "warc-index")
+    replica = materialize(replica_index(pages), "warc-replica")
+    return warc_fixity.audit(index, replica).select(
         "page_id", "archive", "offset", "length", F.col("leaf").alias("record_sha256"), F.col("other").alias("found_sha256"), "status"
     )
 
@@ -105,8 +110,13 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint class of every vector played as notes; ids divisible by 20 are queries."""
-    media = audio_fingerprint.sonified(load(spark, sf_dir, "embeddings"))
+    """Fingerprint class and best match of every recording; ids divisible by 20 are queries.
+
+    The recordings are all vectors played as notes and, with negative ids, second recordings
+    (late, softer, noisy) of every fifth of them.
+    """
+    played = audio_fingerprint.sonified(load(spark, sf_dir, "embeddings"))
+    media = played.unionByName(audio_fingerprint.rerecorded(played.where("media_id % 5 = 0")))
     return audio_fingerprint.search(media, F.col("media_id") % 20 == 0).withColumnRenamed("media_id", "vec_id")
 
 

@@ -8,14 +8,14 @@ _RECORD = r"""
 
 WARC_FIXITY = f"""
 WITH records AS (
-  SELECT page_id, page_id // 1000 AS archive, strlen(record) AS length, sha256(record) AS leaf
+  SELECT page_id, page_id // 1000 AS archive, strlen(record) AS length, sha256(record) AS leaf, sha256('WARC/1.0' || substr(record, 9)) AS altered
   FROM (SELECT page_id, {_RECORD} AS record FROM pages, (SELECT chr(13) || chr(10) AS nl))
 ), placed AS (
   SELECT *, (coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::bigint AS "offset"
   FROM records
 )
 SELECT page_id, archive, "offset", length, leaf AS record_sha256,
-  CASE WHEN page_id % 500 = 3 THEN sha256(leaf || 'x') END AS found_sha256,
+  CASE WHEN page_id % 500 = 3 THEN altered END AS found_sha256,
   CASE page_id % 500 WHEN 3 THEN 'changed' WHEN 77 THEN 'missing' ELSE 'intact' END AS status
 FROM placed
 UNION ALL

@@ -10,10 +10,12 @@ Two replicas are compared from their roots down: at each level only the children
 that differ are looked at, so the records of intact archives are never compared. At the
 bottom a record is ``changed``, ``missing`` (from the second replica) or ``extra`` there.
 
-A range holds at most ``range_bytes`` / shortest record leaves and a node ``fanout``
-children, so every group is bounded, whatever an archive's size. Only hashes are shuffled.
-Null text fields of a page count as empty. Rows without a page id get archives of their
-own by their content; rows that are the same are records one after the other.
+A range holds at most ``range_bytes`` / shortest record leaves and a node below the root
+``fanout`` children; the root hashes one node for each ``range_bytes * fanout ** (levels - 1)``
+bytes of its archive, so archives far beyond a GB want more ``levels``. Only hashes are
+shuffled. Null text fields of a page count as empty. Rows without a page id get archives of
+their own by their content; rows that are the same are records one after the other, in one
+archive and one window, however many they are. No pages give no records.
 """
 
 from __future__ import annotations
@@ -39,12 +41,14 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def archive_index(pages: DataFrame, pages_an_archive: int = 1000) -> DataFrame:
+def archive_index(pages: DataFrame, pages_an_archive: int = 1000, record: Column | None = None) -> DataFrame:
     """(page_id, archive, offset, length, leaf): where each page's record lies.
 
-    Archives hold consecutive page ids. Offsets are running sums of record lengths.
+    Archives hold consecutive page ids. Offsets are running sums of record lengths; a leaf
+    hashes the bytes of ``record``, a page's WARC record unless given.
     """
-    record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    if record is None:
+        record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
     own = -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1 << 40))
     rows = pages.select(
         "page_id",
