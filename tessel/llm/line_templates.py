@@ -114,7 +114,7 @@ def recurring_lines(
     )
     general = general_keys(lines, by_key, need, depth, min(min_docs, min_docs_long), min_constant, min_tokens)
     keys = by_key.where(F.col("n") >= need).select("key").unionByName(general).distinct()
-    found = materialize(lines.select("copy", "whole", "pos", "chars", "key").join(keys, "key", "left_semi").distinct(), "line-recurring")
+    found = materialize(lines.select("copy", "whole", "pos", "chars", "key").join(keys.hint("merge"), "key", "left_semi").distinct(), "line-recurring")
     discard(lines, by_key, general)
     return found
 
@@ -150,7 +150,8 @@ def drop_recurring_lines(docs: DataFrame, copy_share: float = 0.5, **options) ->
     discard(found)
     spare = lambda name: name if name not in docs.columns else spare(name + "_")
     copy, gone, mark = (spare(x) for x in ("copy_of_text", "gone_lines", "is_a_copy"))
-    joined = docs.join(lost.select(F.col("copy").alias(copy), F.col("gone").alias(gone), F.col("is_copy").alias(mark)), F.xxhash64("text") == F.col(copy), "left")
+    # the lost lines grow with the corpus, so they are never broadcast
+    joined = docs.join(lost.select(F.col("copy").alias(copy), F.col("gone").alias(gone), F.col("is_copy").alias(mark)).hint("merge"), F.xxhash64("text") == F.col(copy), "left")
     split = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     short = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
