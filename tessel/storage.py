@@ -65,11 +65,27 @@ def _delete(path: str) -> None:
 
 
 def discard(*frames: DataFrame | None) -> None:
-    """Remove the folders of materialized frames that nothing reads any more."""
+    """Remove the folders of materialized frames that nothing reads any more.
+
+    Their shuffle files go too.
+    """
+    spark = None
     for frame in frames:
         path = getattr(frame, "written_path", None)
-        if path is not None:
+        if path in _written:
+            spark = _written[path]
             _delete(path)
+    if spark is not None:
+        drop_shuffles(spark)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let shuffle files of plans that are done go.
+
+    They go when the driver's JVM collects the plans that made them; a large heap may not be
+    collected for hours, so it is asked to be.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 @contextlib.contextmanager
