@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
+from ..storage import drop_shuffles
 from .common import connected_components, discard, materialize
 
 SKETCH_BITS = 20
@@ -88,13 +89,13 @@ def _fill(n: int, kind: pa.DataType) -> pa.Array:
 
 
 def summaries(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, sig) of every row; sketch parts and sampled sets as rows of other kinds."""
+    """(doc_id, n, sig, counts, parities) of every row; sketch parts and sampled sets as rows of other kinds."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         sample: list[tuple[int, bytes]] = []
-        names, id_type = ["kind", "doc_id", "n", "sig", "part", "blob"], None
+        names, id_type = ["kind", "doc_id", "n", "sig", "part", "blob", *ODDS], None
         for big in batches:
             id_type = big.column("doc_id").type
             for batch in N.slices(big, max_bytes=SLICE):
@@ -106,7 +107,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
                         sample.append((int(sig[i]), values[offsets[i] : offsets[i + 1]].tobytes()))
                 sample = sorted(dict(sample).items())[:SAMPLE_A_TASK]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(rows, np.int32)), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sig), _fill(rows, pa.int32()), pa.array(histograms(values, offsets), pa.binary())],
+                    [pa.array(np.zeros(rows, np.int32)), batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sig), _fill(rows, pa.int32()), pa.array(histograms(values, offsets), pa.binary()), *[pa.array(x) for x in parities(values, offsets)]],
                     names,
                 )
         if id_type is None:
@@ -115,11 +116,11 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
         blobs = [(1, task, part, zlib.compress(own.astype(np.int64).tobytes(), 1)) for part, own in enumerate(np.split(counts, SKETCH_PARTS)) if own.any()]
         blobs += [(2, sig, 0, blob) for sig, blob in sample]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([b[0] for b in blobs], pa.int32()), _fill(len(blobs), id_type), _fill(len(blobs), pa.int64()), pa.array([b[1] for b in blobs], pa.int64()), pa.array([b[2] for b in blobs], pa.int32()), pa.array([b[3] for b in blobs], pa.binary())],
+            [pa.array([b[0] for b in blobs], pa.int32()), _fill(len(blobs), id_type), _fill(len(blobs), pa.int64()), pa.array([b[1] for b in blobs], pa.int64()), pa.array([b[2] for b in blobs], pa.int32()), pa.array([b[3] for b in blobs], pa.binary()), *[_fill(len(blobs), pa.int64()) for _ in ODDS]],
             names,
         )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, n long, sig long, part int, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {kind}, n long, sig long, part int, blob binary" + "".join(f", {c} long" for c in ODDS))
 
 
 def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,11 @@ def choose_boundary(rows: DataFrame, counts: np.ndarray, num: int, den: int) ->
 
 
 def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den: int) -> DataFrame:
-    """(key, sig, n, pos, odd0, ...): the list entries of every distinct set of a task."""
+    """(key, sig, place): the list entries of every distinct set of a task.
+
+    ``place`` packs the set's size and how many of its elements come before, as most keys
+    are met once only and yet all are shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
@@ -176,7 +181,7 @@ def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den:
         for big in batches:
             for batch in N.slices(big, max_bytes=SLICE):
                 values, offsets = N.row_sets(*N.utf8(batch.column("text")), words)
-                sig, n, odd = signatures(values, offsets), np.diff(offsets), parities(values, offsets)
+                sig, n = signatures(values, offsets), np.diff(offsets)
                 new = np.zeros(len(sig), bool)
                 # a set that no set of another size or content can reach links with equals only
                 alone = (n * den // num == n) & (-(-n * num // den) == n)
@@ -201,12 +206,10 @@ def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den:
                     own.append(np.full(len(i), row))
                     at.append(j - 1)  # if these are the first two shared, j - 1 elements are not
                 key, row = np.concatenate(keys).view(np.int64), np.concatenate(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(sig[row]), pa.array(n[row].astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), *[pa.array(x[row]) for x in odd]],
-                    ["key", "sig", "n", "pos", *ODDS],
-                )
+                place = (n[row].astype(np.int64) << 32) + np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig[row]), pa.array(place)], ["key", "sig", "place"])
 
-    return docs.select("text").mapInArrow(run, "key long, sig long, n int, pos int" + "".join(f", {c} long" for c in ODDS))
+    return docs.select("text").mapInArrow(run, "key long, sig long, place long")
 
 
 def plausible(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
@@ -291,13 +294,18 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
     shared = spark.sparkContext.broadcast(counts)  # of fixed size
     entries = materialize(postings(docs, shared, boundary, words, num, den), "jaccard-entries")
     met = entries.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key")
-    members = materialize(
-        entries.join(met, "key").groupBy("key", "sig").agg(*[F.min(c).alias(c) for c in ("n", "pos", *ODDS)]), "jaccard-members"
-    )
-    discard(entries)
+    met = materialize(met, "jaccard-met")
+    drop_shuffles(spark)
+    placed = materialize(entries.join(met, "key", "left_semi").groupBy("key", "sig").agg(F.min("place").alias("place")), "jaccard-placed")
+    discard(entries, met)
     least = sets_of.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    counted = rows.where("kind = 0").join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.first("blob").alias("blob"))
+    counted = rows.where("kind = 0").join(placed.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(*[F.first(c).alias(c) for c in ("blob", *ODDS)])
     counted = materialize(counted, "jaccard-counts")
+    members = placed.join(counted.select("sig", *ODDS), "sig").select(
+        "key", "sig", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), *ODDS
+    )
+    members = materialize(members, "jaccard-members")
+    discard(placed)
     links, labels, sets = None, None, None
     fetched, linked = [], []
     for turn in range(star_rounds + 1):
@@ -318,7 +326,7 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
         else:
             pairs = active.join(active.select("key", *other), "key").where("label < label2")
         pairs = pairs.where(_may_link(num, den)).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
-        pairs = materialize(plausible(pairs.distinct(), counted, num, den), "jaccard-pairs")
+        pairs = materialize(plausible(pairs.distinct(), counted.select("sig", "blob"), num, den), "jaccard-pairs")
         needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
         if sets is not None:
             needed = needed.join(sets.select("sig"), "sig", "left_anti")
