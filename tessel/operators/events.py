@@ -50,6 +50,8 @@ def selective_forget(events: DataFrame, now: Column, age_days: int, pinned: Colu
     return events.join(gone, "event_id", "left_anti")
 
 
-def upsert(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``stored`` replaced by those of ``changes`` with the same key, and the new ones."""
-    return stored.join(changes.select(key), key, "left_anti").unionByName(changes)
+def upsert(stored: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """One row of each key: the latest of its changes by ``order``, else the latest stored one."""
+    both = stored.select(F.lit(0).alias("p"), F.struct(*stored.columns).alias("r")).unionByName(changes.select(F.lit(1).alias("p"), F.struct(*stored.columns).alias("r")))
+    latest = both.groupBy(F.col(f"r.{key}").alias("k")).agg(F.max_by("r", F.struct("p", F.col(f"r.{order}"))).alias("r"))
+    return latest.select("r.*")

@@ -6,17 +6,17 @@ executor costs one round at most and plans stay small.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import scratch_dir
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir; to a folder of our own only where that is unset."""
+    """``df`` written to the session's shared folder (see storage.scratch_dir)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
     return df.checkpoint()
 
 

@@ -1,5 +1,5 @@
 """The query catalogue; importing it registers every query."""
 
-from . import catalog, derived
+from . import catalog, derived, evaluation
 
-__all__ = ["catalog", "derived"]
+__all__ = ["catalog", "derived", "evaluation"]

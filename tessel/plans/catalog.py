@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import analytics as A
 from ..operators import events as E
 from ..operators import graph as G
+from ..operators import matching as J
 from ..sources.files import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,10 +89,11 @@ def _(e):
     return shown(E.selective_forget(e, now(), 10, F.col("event_id") % 97 == 0, 100))
 
 
-@query("upsert_latest", "events", sql=f"{SHOWN} events WHERE event_id % 10 <> 0 UNION ALL SELECT event_id, epoch_us(ts) + 1000000, user_id, 'changed' FROM events WHERE event_id % 10 = 0")
+@query("upsert_latest", "events", sql=f"{SHOWN} events WHERE event_id % 10 <> 0 UNION ALL SELECT event_id, epoch_us(ts) + 2000000, user_id, 'changed 2' FROM events WHERE event_id % 10 = 0")
 def _(e):
-    changes = e.where("event_id % 10 = 0").withColumn("event_type", F.lit("changed")).withColumn("ts", F.col("ts") + F.expr("interval 1 second"))
-    return shown(E.upsert(e, changes, "event_id"))
+    part = e.where("event_id % 10 = 0")  # each changed twice
+    changes = [part.withColumn("event_type", F.lit(f"changed {k}")).withColumn("ts", F.col("ts") + F.expr(f"interval {k} seconds")) for k in (2, 1)]
+    return shown(E.upsert(e, changes[0].unionByName(changes[1]), "event_id", "ts"))
 
 
 @query("severity_rollup", "orders", sql="SELECT count_if(o_orderpriority = '1-URGENT') AS critical, count_if(o_orderpriority = '2-HIGH') AS high, count_if(o_orderpriority = '3-MEDIUM') AS medium, count_if(o_orderpriority = '5-LOW') AS low FROM orders")
@@ -228,12 +230,10 @@ def _(d):
 
 
 @query("cosine_topk", "embeddings", sql="""
-SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND a.vec_id <> b.vec_id
+SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) DESC, b.vec_id) <= 10""")
 def _(v):
-    asked = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # five queries
-    s = v.crossJoin(F.broadcast(asked)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(M.cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
-    return E.latest(s, ["query_id"], [F.desc("score"), F.asc("vec_id")], 10)
+    return J.cosine_search(v, F.col("vec_id") % 20 == 0, 10)
 
 
 @query("gravity_topk", "events", sql="SELECT event_id, round(1e5 * value / ln(greatest(epoch(TIMESTAMP '2024-01-31') - epoch(ts), 1) + 2.718281828459045) ** 2, 3) AS score FROM events ORDER BY score DESC, event_id LIMIT 10")
@@ -260,9 +260,10 @@ def _(li):
     return a.join(b, "l_orderkey").where("part_a < part_b").groupBy("part_a", "part_b").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("anti_orphans", "customer", "orders", sql="SELECT c_custkey AS node FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("anti_orphans", "customer", "orders", sql="SELECT c_custkey AS node FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) ON c_custkey = o_custkey")
 def _(c, o):
-    return G.orphans(c.select(F.col("c_custkey").alias("node")), o.select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst")))
+    linked = o.where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return G.orphans(c.select(F.col("c_custkey").alias("node")), linked)
 
 
 @query("balance_diff", "orders", sql="""WITH a AS (SELECT o_custkey, sum(o_totalprice) AS x FROM orders WHERE o_orderdate < '1995-01-01' GROUP BY 1), b AS (SELECT o_custkey, sum(o_totalprice) AS y FROM orders WHERE o_orderdate >= '1995-01-01' GROUP BY 1)

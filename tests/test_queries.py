@@ -66,3 +66,12 @@ def test_empty_predictions(spark):
     assert A.confusion(empty, 0.5).first().f1 == 0.0
     assert A.reliability(empty).count() == 10
     assert A.roc(empty).count() == 101
+
+
+def test_upsert_takes_the_latest_change(spark):
+    from tessel.operators import events as E
+
+    stored = spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (2, 9, "c")], "k int, t int, v string")
+    changes = spark.createDataFrame([(1, 1, "d"), (1, 2, "e"), (3, 1, "f")], "k int, t int, v string")
+    assert sorted(map(tuple, E.upsert(stored, changes, "k", "t").collect())) == [(1, 2, "e"), (2, 9, "c"), (3, 1, "f")]
+    assert E.upsert(stored.limit(0), changes.limit(0), "k", "t").count() == 0
