@@ -31,6 +31,17 @@ from .common import discard, materialize
 
 VARIABLE = r"[^ ]*[0-9][^ ]*"
 LEVEL_STEP = 8
+SALTS = 8
+
+
+def dealt(lines: DataFrame) -> DataFrame:
+    """``lines`` with a salt of their text, so that one key's lines meet in SALTS tasks."""
+    return lines.withColumn("salt", F.pmod("copy", F.lit(SALTS)).cast("int"))
+
+
+def for_all_salts(keys: DataFrame) -> DataFrame:
+    """One row for each salt of each row of ``keys``, the side with one row a key."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def masked(line: Column) -> Column:
@@ -114,7 +125,8 @@ def recurring_lines(
     )
     general = general_keys(lines, by_key, need, depth, min(min_docs, min_docs_long), min_constant, min_tokens)
     keys = by_key.where(F.col("n") >= need).select("key").unionByName(general).distinct()
-    found = materialize(lines.select("copy", "whole", "pos", "chars", "key").join(keys.hint("merge"), "key", "left_semi").distinct(), "line-recurring")
+    placed = dealt(lines.select("copy", "whole", "pos", "chars", "key")).join(for_all_salts(keys).hint("merge"), ["key", "salt"], "left_semi")
+    found = materialize(placed.select("copy", "whole", "pos", "chars", "key").distinct(), "line-recurring")
     discard(lines, by_key, general)
     return found
 
@@ -129,7 +141,7 @@ def lost_lines(found: DataFrame, copy_share: float) -> DataFrame:
     heavy = lost.where(F.col("lost") > copy_share * F.col("whole")).select("copy")
     ends = found.groupBy("key").agg(F.min("copy").alias("a"), F.max("copy").alias("b"))
     shared = (
-        found.join(heavy, "copy", "left_semi").select("copy", "whole", "chars", "key").join(ends, "key")
+        dealt(found.join(heavy, "copy", "left_semi").select("copy", "whole", "chars", "key")).join(for_all_salts(ends), ["key", "salt"])
         .select("copy", "whole", "chars", F.explode(F.array_distinct(F.array("a", "b"))).alias("other")).where("copy <> other")
         .groupBy("copy", "whole", "other").agg(F.sum(F.col("chars") + 1).alias("common"))
         .groupBy("copy").agg(F.max(F.col("common") > copy_share * F.col("whole")).alias("is_copy"))
