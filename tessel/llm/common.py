@@ -4,14 +4,36 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize
+from . import textnum
 
-__all__ = ["connected_components", "discard", "held_out_bucket", "labelled_sample", "load", "materialize", "release"]
+__all__ = ["connected_components", "discard", "held_out_bucket", "labelled_sample", "load", "materialize", "release", "tidy"]
+
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Pass) -> Pass:
+    """An Arrow pass whose Python worker keeps little memory while it waits for its next task."""
+
+    @functools.wraps(run)
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            textnum.forget_powers()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return passing
 
 
 def release() -> None:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
+from .common import tidy
 
 GRAM = 4
 STEPS = 8  # a power of two, at most 8
@@ -336,6 +337,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, max_share: float = 0.15, table
 def _map(docs: DataFrame, block: list, schema: str, max_share: float, tables: int) -> DataFrame:
     plan = calibrate(block, max_share, tables)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(block, max_share, plan)
         for big in batches:
@@ -357,6 +359,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, max_share: float = 0.15, table
     for block in item_blocks(items, block_items):
         plan = calibrate(block, max_share, tables)
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], block=block, plan=plan) -> Iterator[pa.RecordBatch]:
             index = Index(block, max_share, plan)
             for big in batches:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as N
 from ..storage import drop_shuffles
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, materialize, tidy
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
@@ -92,6 +92,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, sig, counts, parities) of every row; sketch parts and sampled sets as rows of other kinds."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         sample: list[tuple[int, bytes]] = []
@@ -175,6 +176,7 @@ def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den:
     are met once only and yet all are shuffled.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = counts.value
         seen: set[int] = set()
@@ -215,6 +217,7 @@ def postings(docs: DataFrame, counts, boundary: int, words: int, num: int, den:
 def plausible(pairs: DataFrame, counts: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that the element counts (sig, blob) by bucket don't rule out."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HISTOGRAM).astype(np.int64) for c in ("x", "y"))
@@ -244,6 +247,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         table[r["at"]] = r["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(table)  # 1 MB
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for big in batches:

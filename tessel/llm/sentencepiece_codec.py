@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
 from .textnum import slices
 
 MARK = "▁"
@@ -188,6 +189,7 @@ def encode_documents(
     """
     model = _read(model_path or default_model_path())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for big in batches:
@@ -215,6 +217,7 @@ def decode_documents(docs: DataFrame, model_path: str | None = None, ids: str =
     """``docs`` with the text that the ids stand for (null ids: null)."""
     model = _read(model_path or default_model_path())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:

@@ -43,6 +43,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def forget_powers() -> None:
+    """Drop the powers; the next call of ``powers`` makes what it needs."""
+    _POWERS[:] = [np.ones(1, U64), np.ones(1, U64)]
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``max_bytes`` of text, so that temporaries stay small.
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as N
-from .common import labelled_sample, release
+from .common import labelled_sample, release, tidy
 
 #: Identity terms by group; a parameter of fit().
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -50,6 +50,7 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
 
 #: Prefix lengths in bytes: stems whose endings vary.
 PREFIXES = (3, 4, 5, 6, 8)
+SLICE = 1 << 18  # bytes of text at a time
 SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
@@ -235,9 +236,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row, from its whole text."""
     sieve = _sieve(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in N.slices(big):
+            for batch in N.slices(big, max_bytes=SLICE):
                 score = _scores(batch, model, sieve)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
@@ -249,9 +251,10 @@ def keep_below(docs: DataFrame, model: Model, limit: float) -> DataFrame:
     """``docs`` without the rows that score ``limit`` or more; all columns stay."""
     sieve = _sieve(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in N.slices(big):
+            for batch in N.slices(big, max_bytes=SLICE):
                 yield batch.filter(pa.array(_scores(batch, model, sieve) < limit))
 
     return docs.mapInArrow(run, docs.schema)
