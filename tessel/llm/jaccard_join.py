@@ -14,9 +14,11 @@ large is the power of two of least cost: subsets to write against lists to scan,
 on a bounded sample of sets. Neither the order (a count sketch of fixed size over all
 documents) nor the boundary changes the result.
 
-Equal sets are one node. Lists are linked without enumerating the pairs of a group: first
-every member with the least member of its list (``star_rounds`` times, by another order
-each time), then only pairs across components that still meet in a list. Bounds that hold
+Equal sets are one node. Lists are linked without enumerating the pairs of a group: every
+member with one hub of its list, twice by another order; then with every 16th set of its
+list that is still in another component, and only then all pairs across components that
+still meet in a list, by bands of sizes. What links densely is one component before pairs
+are enumerated. Bounds that hold
 for every linked pair drop proposed pairs early: the sizes; the places of the shared element;
 the parities of the element counts in 256 buckets (sets that differ in more of them than
 elements may differ cannot link); the element counts in HISTOGRAM buckets (the sum of the
@@ -29,6 +31,7 @@ Rows that share a doc_id are taken one by one.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -52,6 +55,7 @@ FILTER_BITS = 23
 U64 = np.uint64
 ODDS = [f"odd{k}" for k in range(ODD)]
 SLICE = 1 << 20
+HUBS = (None, None, 16, 1)
 
 
 def bucket_of(values: np.ndarray) -> np.ndarray:
@@ -286,7 +290,37 @@ def _may_link(num: int, den: int):
     )
 
 
-def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, star_rounds: int = 2) -> DataFrame:
+def open_lists(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The entries of the lists in which sets of several components still meet, with their labels.
+
+    Components only grow, so a list of one component never opens again; ``members`` go.
+    """
+    if labels is None:
+        return members.withColumn("label", F.col("sig"))
+    found = labels.select(F.col("node").alias("sig"), F.col("label").alias("found"))
+    labelled = members.drop("label").join(found, "sig", "left").withColumn("label", F.coalesce("found", "sig")).drop("found")
+    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    active = materialize(labelled.join(several, "key", "left_semi"), "jaccard-members")
+    discard(members)
+    return active
+
+
+def across(members: DataFrame, other: list, share: int, num: int, den: int) -> DataFrame:
+    """The pairs of entries of one list and different labels, of sizes that may link.
+
+    Sizes fall into bands by whole powers of a little more than ``den / num``; sizes that
+    may link lie in one band or in neighbouring ones, so a list is met band by band. With a
+    ``share`` above one, one side is every ``share``-th set by hash.
+    """
+    band = F.floor(F.log("n") / math.log(1.0001 * den / num)).cast("int")
+    low = members.withColumn("band", band)
+    hubs = low.where(F.pmod(F.xxhash64("sig"), F.lit(share)) == 0)
+    near = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band")
+    once = "label < label2" if share == 1 else "label <> label2"
+    return low.join(hubs.select("key", *other, near), ["key", "band"]).where(once)
+
+
+def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     if not 0.6 <= num / den <= 1:
         raise ValueError("the similarity must be between 0.6 and 1")
@@ -312,23 +346,16 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, s
     discard(placed)
     links, labels, sets = None, None, None
     fetched, linked = [], []
-    for turn in range(star_rounds + 1):
-        active = members.withColumn("label", F.col("sig"))
-        if labels is not None:
-            active = (
-                members.join(labels.select(F.col("node").alias("sig"), F.col("label").alias("found")), "sig", "left")
-                .withColumn("label", F.coalesce("found", "sig")).drop("found")
-            )
-            open_ = active.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            active = active.join(open_, "key")
+    for turn, share in enumerate(HUBS):
+        members = open_lists(members, labels)
         other = [F.col(c).alias(d) for c, d in (("sig", "hub"), ("n", "n2"), ("pos", "pos2"), *((c, f"{c}_2") for c in ODDS), ("label", "label2"))]
-        if turn < star_rounds:
-            hub = active.groupBy("key").agg(
-                F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), *other)).alias("hub")
-            )
-            pairs = active.join(hub.select("key", "hub.*").drop("h"), "key").where("sig <> hub and label <> label2")
+        if share:
+            pairs = across(members, other, share, num, den)
         else:
-            pairs = active.join(active.select("key", *other), "key").where("label < label2")
+            # one hub for all lists of a group at first, then a hub of its own for each list
+            order = F.xxhash64("sig") if turn == 0 else F.xxhash64("sig", "key")
+            hub = members.groupBy("key").agg(F.min(F.struct(order.alias("h"), *other)).alias("hub"))
+            pairs = members.join(hub.select("key", "hub.*").drop("h"), "key").where("label <> label2")
         pairs = pairs.where(_may_link(num, den)).select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
         pairs = materialize(plausible(pairs.distinct(), counted.select("sig", "blob"), num, den), "jaccard-pairs")
         needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
