@@ -1,4 +1,4 @@
-"""Queries of the ten corpus operators and their SQL, for the entry module."""
+"""Queries of the corpus operators and their SQL, for the entry module."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_fingerprint, decontaminate, jaccard_join, line_templates, lm_scoring, quality, secrets, sentencepiece_codec, toxicity, warc_fixity
+from . import audio_fingerprint, byte_bpe, decontaminate, filter_audit, jaccard_join, line_templates, lm_scoring, merkle_manifest, quality, secrets, sentencepiece_codec, toxicity, warc_fixity
 from .common import held_out_bucket, load, materialize
 from .sql import SQL
 
@@ -120,6 +120,22 @@ def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_fingerprint.search(media, F.col("media_id") % 20 == 0).withColumnRenamed("media_id", "vec_id")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every whole text's token ids and of the bytes that they decode to."""
+    return byte_bpe.digests(load(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of ``documents``, checked against a copy with lower-cased texts."""
+    checked = merkle_manifest.audit_documents(load(spark, sf_dir, "documents"), merkle_manifest.tampered(F.col("text"), F.col("doc_id")))
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source of ``documents``, in all 120 orders."""
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_fixity": op1_warc_fixity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -131,4 +147,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_audio_fingerprint": op10_audio_fingerprint,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_filter_audit": op13_filter_audit,
 }
