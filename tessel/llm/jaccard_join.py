@@ -290,13 +290,12 @@ def _may_link(num: int, den: int):
     )
 
 
-def open_lists(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries of the lists in which sets of several components still meet, with their labels.
 
-    Components only grow, so a list of one component never opens again; ``members`` go.
+    Components only grow, so a list of one component never opens again; ``members`` go, and
+    the frame returned is the written one that takes their place.
     """
-    if labels is None:
-        return members.withColumn("label", F.col("sig"))
     found = labels.select(F.col("node").alias("sig"), F.col("label").alias("found"))
     labelled = members.drop("label").join(found, "sig", "left").withColumn("label", F.coalesce("found", "sig")).drop("found")
     several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
@@ -342,12 +341,14 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     members = placed.join(counted.select("sig", *ODDS), "sig").select(
         "key", "sig", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), *ODDS
     )
-    members = materialize(members, "jaccard-members")
+    written = materialize(members, "jaccard-members")
     discard(placed)
     links, labels, sets = None, None, None
     fetched, linked = [], []
     for turn, share in enumerate(HUBS):
-        members = open_lists(members, labels)
+        if labels is not None:
+            written = open_lists(written, labels)
+        members = written if labels is not None else written.withColumn("label", F.col("sig"))
         other = [F.col(c).alias(d) for c, d in (("sig", "hub"), ("n", "n2"), ("pos", "pos2"), *((c, f"{c}_2") for c in ODDS), ("label", "label2"))]
         if share:
             pairs = across(members, other, share, num, den)
@@ -372,7 +373,7 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
         links = found if links is None else links.unionByName(found)
         before, labels = labels, connected_components(links, "jaccard")
         discard(before)
-    discard(members, counted, *fetched, *linked)
+    discard(written, counted, *fetched, *linked)
     by_sig = sets_of.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     labelled = by_sig.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     labelled = materialize(labelled, "jaccard-labelled")
