@@ -32,25 +32,6 @@ def closure(edges: DataFrame) -> DataFrame:
             return known
 
 
-def cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """(cycle): simple cycles of 3 to ``longest`` nodes, each once, from its least node.
-
-    Edges off every cycle of one step fewer are dropped first: a node needs a way in and out.
-    """
-    edge = edges.select("src", "dst").where("src <> dst").distinct()
-    edge = edge.join(edge.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-    edge = checkpointed(edge.join(edge.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-    path = edge.where("dst > src").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("cycle"))
-    closing = edge.select(F.col("src").alias("last"), F.col("dst").alias("first"))
-    found = None
-    for _ in range(longest - 2):
-        step = path.join(edge, path.last == edge.src).where((F.col("dst") > F.col("first")) & ~F.array_contains("cycle", F.col("dst")))
-        path = step.select("first", F.col("dst").alias("last"), F.array_append("cycle", F.col("dst")).alias("cycle"))
-        closed = path.join(closing, ["last", "first"], "left_semi").select("cycle")
-        found = closed if found is None else found.unionByName(closed)
-    return found
-
-
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level) in topological order: 0 without incoming edges; nodes on or behind cycles are left out."""
     left = checkpointed(edges.select("src", "dst").distinct())

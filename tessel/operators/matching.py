@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import cosine_product, top_pairs
+
 
 def ordered_pairs(rows: DataFrame, keys: list[str], by: str, left: Column | None = None, right: Column | None = None) -> DataFrame:
     """(keys, by_a, by_b) with by_a < by_b inside each key; the key must bound its group."""
@@ -59,42 +59,11 @@ def merge_ranked(sources: Sequence[tuple[str, DataFrame]], k: int) -> DataFrame:
     return best.orderBy("place.rank", "place.id").limit(k).select("place.source", "place.id", "text")
 
 
-def cosine_search(vectors: DataFrame, asked: Column, k: int, block: int = 4096) -> DataFrame:
+def cosine_search(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
     """(query_id, vec_id, score): the ``k`` nearest of each asked row of (vec_id, embedding) among all others.
 
-    Queries go to the tasks in blocks of about ``block`` rows; each task keeps what may be
-    among the best of its batch, ties included, so few rows are shuffled. Scores are rounded
-    to four places; of equal ones the least vec_id comes first.
+    Scores are rounded to four places; of equal ones the least vec_id comes first.
     """
-    queries = vectors.where(asked & F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        found = _nearest(vectors, part.column("vec_id").to_numpy(), _rows(part.column("embedding")), k)
-        out = found if out is None else out.unionByName(found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
-
-
-def _rows(column) -> np.ndarray:
-    """Embeddings as rows of length one; a zero vector stays zero."""
-    x = np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
-    norm = np.sqrt((x * x).sum(1, keepdims=True)) if x.size else np.ones((len(x), 1))
-    return x / np.where(norm > 0, norm, 1)
-
-
-def _nearest(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column("embedding").is_valid())
-            if not batch.num_rows or not len(ids):
-                continue
-            own = batch.column("vec_id").to_numpy()
-            score = np.round(asked @ _rows(batch.column("embedding")).T, 4)
-            score[ids[:, None] == own[None, :]] = -np.inf
-            least = np.partition(score, -min(k, len(own)), axis=1)[:, -min(k, len(own))]
-            q, v = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[v]), pa.array(score[q, v])], ["query_id", "vec_id", "score"])
-
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+    rows = vectors.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    queries = vectors.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return top_pairs(queries, rows, k, cosine_product, digits=4).withColumnRenamed("row_id", "vec_id")

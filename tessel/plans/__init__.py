@@ -1,5 +1,5 @@
 """The query catalogue; importing it registers every query."""
 
-from . import catalog, derived, evaluation
+from . import catalog, derived, evaluation, graphs, retrieval
 
-__all__ = ["catalog", "derived", "evaluation"]
+__all__ = ["catalog", "derived", "evaluation", "graphs", "retrieval"]

@@ -216,7 +216,7 @@ def _(d):
     return d.select("doc_id", X.keyword_hits(F.col("text"), WORDS).alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(20)
 
 
-@query("tfidf_topk", "documents", sql="""
+@query("tfidf_words", "documents", sql="""
 WITH w AS (SELECT doc_id, unnest([x FOR x IN regexp_split_to_array(lower(text), '[ \\t\\n\\r]+') IF length(x) >= 2]) AS t FROM documents),
 tf AS (SELECT doc_id, t, count(*) AS c FROM w GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
 idf AS (SELECT t, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tf, n WHERE t IN ('the', 'and', 'of') GROUP BY t, n)

@@ -64,14 +64,6 @@ def _(li):
     return T.fit_power(li, ["l_linestatus"], "l_quantity", "l_extendedprice").withColumns({"a": F.round("a", 2), "b": F.round("b", 5)})
 
 
-@query("graph_cycles", "lineitem", sql=f"""
-WITH RECURSIVE e AS ({EDGES}), p(first, node, way) AS (SELECT src, dst, [src, dst] FROM e WHERE dst > src
-  UNION ALL SELECT p.first, e.dst, list_append(p.way, e.dst) FROM p JOIN e ON e.src = p.node WHERE e.dst > p.first AND NOT list_contains(p.way, e.dst) AND len(p.way) < 4)
-SELECT array_to_string(list_transform(way, lambda v: v::varchar), '>') AS cycle, len(way)::int AS nodes FROM p JOIN e ON e.src = p.node AND e.dst = p.first WHERE len(way) >= 3""")
-def _(li):
-    return R.cycles(edges_of(li), 4).select(F.array_join(F.transform("cycle", lambda v: v.cast("string")), ">").alias("cycle"), F.size("cycle").alias("nodes"))
-
-
 @query("closure", "lineitem", sql=f"WITH RECURSIVE e AS ({EDGES}), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT src, dst FROM r")
 def _(li):
     return R.closure(edges_of(li))
