@@ -28,7 +28,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_agrees_with_sql(spark, con, name):
     df = catalog.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
