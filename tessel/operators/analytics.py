@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,3 +157,70 @@ def factor_band(x: Column) -> Column:
     """Fixed thresholds .7, .4 and .2; what is no number counts as 0."""
     v = F.coalesce(x, F.lit(0.0))
     return F.when(v >= 0.7, "high").when(v >= 0.4, "medium").when(v >= 0.2, "low").otherwise("minor")
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median) of each key's values, exact; nulls don't count, and a key of nulls alone has a null median.
+
+    A mergeable sketch bounds where the middle lies, with a rank error below a thousandth; only
+    what lies within these bounds is counted by value and ranked, half a hundredth of a key.
+    """
+    v = F.col(value)
+    bounds = rows.groupBy(*keys).agg(F.percentile_approx(value, F.array(F.lit(0.4975), F.lit(0.5025)), F.lit(1000)).alias("__b"), F.count(value).alias("__n"))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    near = rows.alias("r").join(bounds.alias("b"), same).select(*[F.col(f"r.{k}") for k in keys], F.col(f"r.{value}").alias(value), "__b", "__n")
+    # all that lies below the bounds is one row
+    counted = near.where(v <= F.col("__b")[1]).groupBy(*keys, "__n", F.when(v >= F.col("__b")[0], v).alias("__v")).agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("__to", upto)
+    holds = lambda rank: (F.col("__to") > rank) & (F.col("__to") - F.col("__c") <= rank)
+    low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    found = ranked.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col("__v"))) + F.max(F.when(holds(high), F.col("__v")))) / 2).alias("median"))
+    known = bounds.select(*keys).alias("b")
+    same = reduce(lambda a, b: a & b, [F.col(f"f.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
+    return known.join(found.alias("f"), same, "left").select(*[F.col(f"b.{k}") for k in keys], "f.median")
+
+
+def running_mean(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``calls`` and ``mean``: number and mean of each key's values up to the row.
+
+    Days are summed first, as in ``running_balance``. ``order`` starts with a time.
+    """
+    days = rows.groupBy(*keys, F.to_date(order[0]).alias("__day")).agg(F.sum(value).alias("__sum"), F.count("*").alias("__count"), F.count(value).alias("__valued"))
+    earlier = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, "__day", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("__sum", "__count", "__valued")])
+    here = Window.partitionBy(*keys, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("__day", F.to_date(order[0])).withColumns({"__s": F.coalesce(F.sum(value).over(here), F.lit(0)), "__c": F.count("*").over(here), "__v": F.count(value).over(here)})
+    both = own.join(days, [*keys, "__day"])
+    mean = (F.col("__s") + F.col("__sum_before")) / F.nullif(F.col("__v") + F.col("__valued_before"), F.lit(0))
+    return both.withColumns({"calls": F.col("__c") + F.col("__count_before"), "mean": mean}).drop("__day", "__s", "__c", "__v", "__sum_before", "__count_before", "__valued_before")
+
+
+def previous(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the value of the row before of the same key (null for its first).
+
+    Looks back within a day, and from a day's first row to the last one of the key's day
+    before, so that a key with many rows is split by day. ``order`` starts with a time; rows
+    without one are left out.
+    """
+    timed = rows.where(F.col(order[0]).isNotNull()).withColumn("__day", F.to_date(order[0]))
+    w = Window.partitionBy(*keys, "__day").orderBy(*order)
+    days = timed.groupBy(*keys, "__day").agg(F.max(F.struct(*order, F.col(value).alias("__last"))).alias("__end"))
+    days = days.select(*keys, "__day", F.lag("__end.__last").over(Window.partitionBy(*keys).orderBy("__day")).alias("__before"))
+    here = timed.withColumns({"__row": F.row_number().over(w), name: F.lag(value).over(w)}).join(days, [*keys, "__day"])
+    return here.withColumn(name, F.when(F.col("__row") == 1, F.col("__before")).otherwise(F.col(name))).drop("__day", "__row", "__before")
+
+
+def dampened(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p) of (sat, exploitable, proven, confidence): the probability that a group's findings are real.
+
+    Without proof data (``proven`` on no row) it is .48 + half of how far the best confidence
+    is over .87, within [0, 1]; else a sigmoid of the share of satisfiable and exploitable rows
+    and of that confidence. A null confidence counts as .5, null flags as false.
+    """
+    n = F.count("*")
+    best = F.max(F.coalesce("confidence", F.lit(0.5)))
+    share = lambda c: F.count_if(F.coalesce(c, F.lit(False))) / n
+    logit = 4 * (share("sat") - 0.3) + 2 * share("exploitable") + 2 * (best - 0.9)
+    proofs = F.coalesce(F.bool_or("proven"), F.lit(False))
+    return findings.groupBy(*keys).agg(F.when(proofs, 1 / (1 + F.exp(-logit))).otherwise(clamp(0.48 + 0.5 * (best - 0.87))).alias("p"))

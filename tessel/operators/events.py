@@ -51,7 +51,13 @@ def selective_forget(events: DataFrame, now: Column, age_days: int, pinned: Colu
 
 
 def upsert(stored: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """One row of each key: the latest of its changes by ``order``, else the latest stored one."""
+    """One row of each key: the latest of its changes by ``order``, else the latest stored one.
+
+    A null key is equal to none: rows of such keys all stay, stored ones and changes.
+    """
+    blank = F.col(key).isNull()
+    unkeyed = stored.where(blank).unionByName(changes.where(blank).select(*stored.columns))
+    stored, changes = stored.where(~blank), changes.where(~blank)
     both = stored.select(F.lit(0).alias("p"), F.struct(*stored.columns).alias("r")).unionByName(changes.select(F.lit(1).alias("p"), F.struct(*stored.columns).alias("r")))
     latest = both.groupBy(F.col(f"r.{key}").alias("k")).agg(F.max_by("r", F.struct("p", F.col(f"r.{order}"))).alias("r"))
-    return latest.select("r.*")
+    return latest.select("r.*").unionByName(unkeyed)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import scratch_dir
+from ..storage import materialize, scratch_dir
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -21,15 +21,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst) for every dst that src reaches; a path of length L takes about log2(L) rounds."""
-    known = checkpointed(edges.select("src", "dst").distinct())
-    size = known.count()
-    while True:
-        further = known.select("src", F.col("dst").alias("via")).join(known.select(F.col("src").alias("via"), "dst"), "via")
-        known = checkpointed(known.unionByName(further.select("src", "dst")).distinct())
-        before, size = size, known.count()
-        if size == before:
-            return known
+    """(src, dst) for every dst that src reaches; a path of length L takes about log2(L) rounds.
+
+    A round joins the newest pairs with all known ones, in front and behind, and writes only
+    what is new.
+    """
+    new = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "closure")
+    known = new
+    while not new.isEmpty():
+        ahead = new.withColumnRenamed("dst", "via").join(known.withColumnRenamed("src", "via"), "via").select("src", "dst")
+        behind = known.withColumnRenamed("dst", "via").join(new.withColumnRenamed("src", "via"), "via").select("src", "dst")
+        new = materialize(ahead.unionByName(behind).distinct().join(known, ["src", "dst"], "left_anti"), "closure")
+        known = known.unionByName(new)
+    return known
 
 
 def levels(edges: DataFrame) -> DataFrame:

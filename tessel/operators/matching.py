@@ -49,14 +49,17 @@ def task_score(same_kind: Column, same_domain: Column, tokens: Column, asked: Se
 def merge_ranked(sources: Sequence[tuple[str, DataFrame]], k: int) -> DataFrame:
     """(source, id, text): union of (id, text) in the order given, each trimmed text once, the first k.
 
-    A text's first place is an aggregate, so that copies combine before the shuffle.
+    A text's first place is an aggregate by its SHA-256, so that copies combine before the
+    shuffle and whole texts stay where they are; the k places kept fetch their texts.
     """
     every = None
     for rank, (name, rows) in enumerate(sources):
         part = rows.where("text is not null").select(F.trim("text").alias("text"), F.struct(F.lit(rank).alias("rank"), F.col("id"), F.lit(name).alias("source")).alias("place"))
         every = part if every is None else every.unionByName(part)
-    best = every.where("text <> ''").groupBy("text").agg(F.min("place").alias("place"))
-    return best.orderBy("place.rank", "place.id").limit(k).select("place.source", "place.id", "text")
+    keyed = every.where("text <> ''").withColumn("key", F.sha2("text", 256))
+    best = keyed.groupBy("key").agg(F.min("place").alias("place")).orderBy("place.rank", "place.id").limit(k)
+    fetched = keyed.join(F.broadcast(best), ["key", "place"]).dropDuplicates(["key"])  # k rows
+    return fetched.orderBy("place.rank", "place.id").select("place.source", "place.id", "text")
 
 
 def cosine_search(vectors: DataFrame, asked: Column, k: int) -> DataFrame:

@@ -189,7 +189,8 @@ def _(d, la):
 
 @query("trace_stats", "events", sql="SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS sd, round(avg((value < 40)::int), 6) AS low FROM events GROUP BY event_type")
 def _(e):
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.stddev_pop("value"), 6).alias("sd"), F.round(F.avg((F.col("value") < 40).cast("int")), 6).alias("low"))
+    told = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"), F.round(F.avg((F.col("value") < 40).cast("int")), 6).alias("low"))
+    return told.join(A.medians(e, ["event_type"], "value").withColumn("median", F.round("median", 6)), "event_type")
 
 
 @query("stability", "events", sql="SELECT user_id, round(max(n) / sum(n), 6) AS share FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
@@ -362,10 +363,7 @@ def _(p):
 
 @query("contradictions_lag", "events", sql="SELECT event_id FROM events QUALIFY event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
 def _(e):
-    from pyspark.sql import Window
-
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.withColumn("before", before).where("event_type <> before").select("event_id")
+    return A.previous(e, ["user_id"], ["ts", "event_id"], "event_type", "before").where("event_type <> before").select("event_id")
 
 
 @query("keyword_hist", "conversations", sql="SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\r]+')) AS word FROM conversations) WHERE length(word) >= 3 GROUP BY word")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import analytics as A
 from .catalog import query
 
 RUN = "user_id % 7 AS run, event_type AS lang, event_id % 11 = 0 AS is_summary, event_id % 3 = 0 AS correct, CASE WHEN event_id % 5 <> 0 THEN value END AS similarity, CASE event_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS winner"
@@ -56,10 +57,10 @@ def _(e):
     ).select(F.col("b").alias("before"), F.col("a").alias("after"), "accepted")
 
 
-@query("answers_references", "documents", "labels", sql="SELECT l.doc_id, coalesce(substr(d.text, 1, 20), '') AS answer, l.quality FROM labels l LEFT JOIN documents d ON d.doc_id::varchar = l.doc_id::varchar AND d.doc_id % 2 = 0")
+@query("answers_references", "documents", "labels", sql="SELECT l.doc_id, coalesce(d.text, '') AS answer, l.quality FROM labels l LEFT JOIN documents d ON d.doc_id::varchar = l.doc_id::varchar")
 def _(d, la):
     """Every reference with its answer by id as text; a missing answer is empty."""
-    answers = d.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("key"), F.substring("text", 1, 20).alias("answer"))
+    answers = d.select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("answer"))
     return la.join(answers, F.col("doc_id").cast("string") == F.col("key"), "left").select("doc_id", F.coalesce("answer", F.lit("")).alias("answer"), "quality")
 
 
@@ -135,8 +136,7 @@ def _(e):
 
 @query("running_mean", "orders", sql="SELECT o_orderkey, count(*) OVER w AS calls, round(avg(o_totalprice) OVER w, 4) AS mean FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
 def _(o):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return o.select("o_orderkey", F.count("*").over(w).alias("calls"), F.round(F.avg("o_totalprice").over(w), 4).alias("mean"))
+    return A.running_mean(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_orderkey", "calls", F.round("mean", 4).alias("mean"))
 
 
 @query("salience", "events", sql="SELECT event_id, round(0.5 * (value / 500) + 0.3 * (event_id % 10) / 10.0 + 0.2 / (1 + (epoch(TIMESTAMP '2024-01-31') - epoch(ts))), 9) AS salience FROM events")
@@ -146,12 +146,13 @@ def _(e):
     return e.select("event_id", F.round(0.5 * (F.col("value") / 500) + 0.3 * (F.col("event_id") % 10) / 10.0 + 0.2 / (1 + age), 9).alias("salience"))
 
 
-@query("inverted_index", "conversations", sql="""SELECT token, count(*) AS turns, min(place) AS first_place FROM (
-SELECT DISTINCT conv_id * 1000 + turn AS place, unnest([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r]+') IF x <> '']) AS token FROM conversations) GROUP BY token""")
+@query("inverted_index", "conversations", sql="""SELECT token, count(*) AS turns, min((conv_id, turn))[1] AS first_conv, min((conv_id, turn))[2] AS first_turn FROM (
+SELECT DISTINCT conv_id, turn, unnest([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r]+') IF x <> '']) AS token FROM conversations) GROUP BY token""")
 def _(c):
     """Tokens with how many turns hold them; the postings stay rows, so no list is unbounded."""
     token = F.explode(F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \\t\\n\\r]+"), lambda x: x != "")))
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("place"), token.alias("token")).distinct().groupBy("token").agg(F.count("*").alias("turns"), F.min("place").alias("first_place"))
+    found = c.select(F.struct("conv_id", "turn").alias("place"), token.alias("token")).distinct().groupBy("token").agg(F.count("*").alias("turns"), F.min("place").alias("first"))
+    return found.select("token", "turns", F.col("first.conv_id").alias("first_conv"), F.col("first.turn").alias("first_turn"))
 
 
 @query("gates", "events", sql="SELECT event_id, (a + b + c) % 2 = 1 AS xor_, NOT (a + b + c = 3) AS nand_, a + b + c = 0 AS nor_, (a + b + c) % 2 = 0 AS xnor_, 0.5 * a + 0.3 * b + 0.4 * c >= 0.6 AS weighted FROM (SELECT event_id, (event_id % 2)::int AS a, (event_id // 2 % 2)::int AS b, (event_id // 4 % 2)::int AS c FROM events)")
