@@ -1,5 +1,5 @@
 """The query catalogue; importing it registers every query."""
 
-from . import catalog, derived, evaluation, graphs, learning, retrieval
+from . import catalog, derived, evaluation, graphs, learning, project, retrieval
 
-__all__ = ["catalog", "derived", "evaluation", "graphs", "learning", "retrieval"]
+__all__ = ["catalog", "derived", "evaluation", "graphs", "learning", "project", "retrieval"]
