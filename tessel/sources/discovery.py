@@ -21,7 +21,7 @@ def discover(spark: SparkSession, root: str, suffix: str = ".sol", tests: bool =
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root).select("path", F.col("length").alias("size"))
     tail = "/" + root.rstrip("/").split("://")[-1].lstrip("/") + "/"
-    inner = F.substring_index("path", F.lit(tail), -1)
+    inner = F.substring_index("path", tail, -1)
     rows = files.withColumn("relative_path", inner).withColumn("parts", F.split("relative_path", "/")).withColumn("folders", F.slice("parts", F.lit(1), F.size("parts") - 1))
     name, lowered = F.lower(F.element_at("parts", -1)), F.transform("parts", F.lower)
     in_any = lambda names: F.arrays_overlap("folders", F.array(*[F.lit(n) for n in names]))
