@@ -75,3 +75,12 @@ def test_upsert_takes_the_latest_change(spark):
     changes = spark.createDataFrame([(1, 1, "d"), (1, 2, "e"), (3, 1, "f")], "k int, t int, v string")
     assert sorted(map(tuple, E.upsert(stored, changes, "k", "t").collect())) == [(1, 2, "e"), (2, 9, "c"), (3, 1, "f")]
     assert E.upsert(stored.limit(0), changes.limit(0), "k", "t").count() == 0
+
+
+def test_entry_needs_no_session_to_be_imported():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 100"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent, timeout=120)
