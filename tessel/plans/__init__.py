@@ -1,5 +1,5 @@
 """The query catalogue; importing it registers every query."""
 
-from . import catalog, derived, effects, evaluation, graphs, learning, project, retrieval
+from . import catalog, derived, effects, evaluation, graphs, learning, ledgers, project, retrieval
 
-__all__ = ["catalog", "derived", "effects", "evaluation", "graphs", "learning", "project", "retrieval"]
+__all__ = ["catalog", "derived", "effects", "evaluation", "graphs", "learning", "ledgers", "project", "retrieval"]
