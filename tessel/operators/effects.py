@@ -59,12 +59,16 @@ def profit_chains(effects: DataFrame, functions: DataFrame, weight: float = 2.5)
     return pairs.agg(_names("var").cast("array<string>").alias("shared")).withColumn("weight", F.lit(weight))
 
 
-def resolved_members(chain: DataFrame, members: DataFrame) -> DataFrame:
+def resolved_members(chain: DataFrame, members: DataFrame, parts: int | None = None) -> DataFrame:
     """(contract, member, owner, overridden) of (contract, ancestor, place) and (ancestor, member): the first in the chain that defines a member.
 
     ``overridden`` counts the further definitions behind it; of equal places the least ancestor comes first.
+    ``parts`` is how many tasks share the found definitions (None: as the session has it).
     """
-    found = chain.join(members.distinct(), "ancestor").groupBy("contract", "member")
+    found = chain.join(members.distinct(), "ancestor")
+    if parts:
+        found = found.repartition(parts, "contract", "member")
+    found = found.groupBy("contract", "member")
     return found.agg(F.min_by("ancestor", F.struct("place", "ancestor")).alias("owner"), (F.count("*") - 1).alias("overridden"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import effects as E
 from ..operators import matching as J
-from .catalog import query
+from .catalog import parts_of, query
 
 EFFECTS = """e AS (SELECT DISTINCT l_orderkey // 4 AS contract, 'f' || l_linenumber AS function, 'v' || (l_suppkey % 5) AS var, CASE WHEN l_returnflag = 'R' THEN 'write' ELSE 'read' END AS kind FROM lineitem),
 f AS (SELECT DISTINCT l_orderkey // 4 AS contract, 'f' || l_linenumber AS function, l_linenumber % 2 = 0 AS public, l_linenumber % 3 > 0 AS calls_out, (l_orderkey // 4) % 3 = 0 AND l_linenumber > 3 AS guarded FROM lineitem)"""
@@ -65,7 +65,7 @@ SELECT contract, member, arg_min(ancestor, (place, ancestor)) AS owner, count(*)
 def _(li):
     chain = li.groupBy(F.col("l_orderkey").alias("contract"), F.col("l_suppkey").alias("ancestor")).agg(F.min("l_linenumber").alias("place"))
     members = li.where("l_partkey % 5 = 0").select(F.col("l_suppkey").alias("ancestor"), F.concat(F.lit("m"), (F.col("l_partkey") % 6).cast("string")).alias("member"))
-    return E.resolved_members(chain, members)
+    return E.resolved_members(chain, members, parts_of(li))
 
 
 FITS = "SELECT l_suppkey AS k, l_linenumber % 3 AS f, min(l_quantity) AS a, max(l_tax) AS b, min(l_extendedprice) AS rmse, max(l_discount) * 10 AS confidence FROM lineitem GROUP BY l_suppkey, l_linenumber"
