@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
+FOLDED = 64  # assignments, and seeds, of a function that are folded in one row
+
+
 def first_contained(text: Column, rules: Sequence[tuple[str, object]], default: object) -> Column:
     """The value of the first (key, value) whose key the lower-cased text contains."""
     out = F.lit(default)
@@ -72,12 +75,40 @@ def tainted(assignments: DataFrame, seeds: DataFrame) -> DataFrame:
 
     One pass in step order: an assignment (function, step, target, used) hands on what the
     used name holds before it; ``seeds`` (function, name, source) hold from the start (step
-    null becomes -1). That is the earliest step at which a chain of rising steps arrives, so
-    rounds join what has become earlier with the assignments behind it, and neither a long
-    function nor a common one is folded in one task. Nothing takes a source away again.
+    null becomes -1). That is the earliest step at which a chain of rising steps arrives.
+    Functions of FOLDED assignments and seeds at most are folded, each in a row of its own;
+    for longer ones rounds join what has become earlier with the assignments behind it, so
+    that none is folded in one task. Nothing takes a source away again.
     """
-    step = assignments.select("function", "step", "target", "used").where("target is not null and used is not null and step is not null").distinct()
-    known = front = materialize(seeds.select("function", "name", "source", F.lit(-1).cast("long").alias("since")).where("name is not null").distinct(), "taint")
+    step = assignments.select("function", "step", "target", "used").where("target is not null and used is not null and step is not null")
+    seeds = seeds.select("function", "name", "source", F.lit(-1).cast("long").alias("since")).where("name is not null").distinct()
+    many = lambda rows: rows.groupBy("function").count().where(F.col("count") > FOLDED).select("function")
+    long = materialize(many(step).unionByName(many(seeds)).where("function is not null").distinct(), "taint-long")
+    if long.isEmpty():
+        return _folded(step, seeds)
+    part = lambda rows, how: rows.join(long, "function", how)
+    return _folded(part(step, "left_anti"), part(seeds, "left_anti")).unionByName(_in_rounds(part(step, "left_semi"), part(seeds, "left_semi")))
+
+
+def _folded(step: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``tainted`` for functions of few assignments and seeds."""
+    steps = step.groupBy("function").agg(F.sort_array(F.collect_list(F.struct("step", "target", "used"))).alias("steps"))
+    held = seeds.groupBy("function").agg(F.collect_list(F.struct("name", "source", "since")).alias("held"))
+    kind = held.schema["held"].dataType.simpleString()
+
+    def then(state: Column, s: Column) -> Column:
+        handed = F.filter(state, lambda x: (x["name"] == s["used"]) & (x["since"] < s["step"]))
+        new = F.filter(handed, lambda x: ~F.exists(state, lambda y: (y["name"] == s["target"]) & y["source"].eqNullSafe(x["source"])))
+        return F.concat(state, F.transform(new, lambda x: F.struct(s["target"].alias("name"), x["source"].alias("source"), s["step"].cast("long").alias("since"))).cast(kind))
+
+    both = held.join(steps, "function", "left")
+    out = F.when(F.col("steps").isNull(), F.col("held")).otherwise(F.aggregate("steps", F.col("held").cast(kind), then))
+    return both.select("function", F.inline(out))
+
+
+def _in_rounds(step: DataFrame, seeds: DataFrame) -> DataFrame:
+    step = materialize(step.distinct(), "taint-steps")
+    known = front = materialize(seeds, "taint")
     while not front.isEmpty():
         reached = front.join(step.withColumnRenamed("used", "name"), ["function", "name"]).where(F.col("step") > F.col("since"))
         reached = reached.groupBy("function", F.col("target").alias("name"), "source").agg(F.min("step").cast("long").alias("since"))
