@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
+FEW_PATHS = 20_000  # paths that may go to every task
+TRIM = 20  # a round of trimming that takes away a smaller part of the edges is the last
+
+
 def _clean(edges: DataFrame) -> DataFrame:
     return materialize(edges.select("kind", "src", "dst").where("src is not null and dst is not null").distinct(), "edges")
 
@@ -34,23 +38,27 @@ def starts(edges: DataFrame) -> DataFrame:
 def maximal_paths(edges: DataFrame, longest: int | None = None) -> DataFrame:
     """(kind, path): simple paths of two nodes or more from each start that no edge carries on.
 
-    One outer join a round tells the paths that grow from those that have ended. Ends when no
+    One outer join a round tells the paths that grow from those that have ended; FEW_PATHS at
+    most are sent to the edges instead, so that late rounds shuffle no edges. Ends when no
     path grows; with ``longest``, paths of so many nodes end there.
     """
     edge = _clean(edges)
-    front = starts(edge).select("kind", F.array("node").alias("path"))
+    front = materialize(starts(edge).select("kind", F.array("node").alias("path")), "paths")
     ended = []
-    nodes = 1
-    while longest is None or nodes < longest:
+    nodes, n = 1, front.count()
+    while n and (longest is None or nodes < longest):
         here = front.withColumn("src", F.element_at("path", -1)).alias("p")
         may = (F.col("p.kind") == F.col("e.kind")) & (F.col("p.src") == F.col("e.src")) & ~F.array_contains("p.path", F.col("e.dst"))
-        step = materialize(here.join(edge.alias("e"), may, "left").select("p.kind", "p.path", F.col("e.dst").alias("dst")), "paths")
+        if n > FEW_PATHS:
+            step = materialize(here.join(edge.alias("e"), may, "left").select("p.kind", "p.path", F.col("e.dst").alias("dst")), "paths")
+            over, grown = step.where("dst is null").select("kind", "path"), step.where("dst is not null")
+        else:  # an outer join would shuffle all edges for the sake of few paths
+            grown = materialize(edge.alias("e").join(F.broadcast(here), may).select("p.kind", "p.path", F.col("e.dst").alias("dst")), "paths")
+            over = front.join(grown.select("kind", "path"), ["kind", "path"], "left_anti")
         if nodes > 1:
-            ended.append(step.where("dst is null").select("kind", "path"))
-        front = step.where("dst is not null").select("kind", F.array_append("path", F.col("dst")).alias("path"))
-        nodes += 1
-        if front.isEmpty():
-            break
+            ended.append(over)
+        front = grown.select("kind", F.array_append("path", F.col("dst")).alias("path"))
+        nodes, n = nodes + 1, grown.count()
     return _union([*ended, front])
 
 
@@ -58,7 +66,8 @@ def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
     """(kind, cycle): simple cycles of 3 to ``longest`` nodes within a kind, each once, from its least node.
 
     Edges whose ends can lie on no cycle of that kind go first, as long as a round of
-    trimming takes any away; a path grows over nodes above its first one only.
+    trimming takes one in TRIM away; a path grows over nodes above its first one only. The
+    join that grows a path also tells whether an edge leads back to its first node.
     """
     edge = _clean(edges.where("src <> dst"))
     left = edge.count()
@@ -66,20 +75,22 @@ def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
         keep = edge.join(edge.select("kind", F.col("dst").alias("src")).distinct(), ["kind", "src"], "left_semi")
         edge = materialize(keep.join(edge.select("kind", F.col("src").alias("dst")).distinct(), ["kind", "dst"], "left_semi").select("kind", "src", "dst"), "edges")
         before, left = left, edge.count()
-        if left == before:
+        if (before - left) * TRIM < before:
             break
     front = edge.where("dst > src").select("kind", F.array("src", "dst").alias("path"))
-    closing = edge.select("kind", F.col("src").alias("last"), F.col("dst").alias("first"))
     found = []
-    for _ in range(longest - 2):
+    for nodes in range(2, longest + 1):
         here = front.withColumn("src", F.element_at("path", -1))
-        step = here.join(edge, ["kind", "src"]).where((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst")))
-        front = materialize(step.select("kind", F.array_append("path", F.col("dst")).alias("path")), "paths")
-        ends = front.select("kind", F.col("path")[0].alias("first"), F.element_at("path", -1).alias("last"), F.col("path").alias("cycle"))
-        found.append(ends.join(closing, ["kind", "first", "last"], "left_semi").select("kind", "cycle"))
-        if front.isEmpty():
+        back = F.col("dst") == F.col("path")[0]
+        grows = (F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))
+        wanted = back if nodes == longest else grows if nodes == 2 else back | grows
+        step = materialize(here.join(edge, ["kind", "src"]).where(wanted).select("kind", "path", "dst"), "paths")
+        if nodes > 2:
+            found.append(step.where(back).select("kind", F.col("path").alias("cycle")))
+        front = step.where(~back).select("kind", F.array_append("path", F.col("dst")).alias("path"))
+        if step.isEmpty():
             break
-    return _union(found)
+    return _union(found) if found else front.withColumnRenamed("path", "cycle").limit(0)
 
 
 def beam(seeds: DataFrame, edges: DataFrame, gains: DataFrame, width: int, depth: int) -> DataFrame:
