@@ -65,7 +65,7 @@ def resolved_members(chain: DataFrame, members: DataFrame, parts: int | None = N
     ``overridden`` counts the further definitions behind it; of equal places the least ancestor comes first.
     ``parts`` is how many tasks share the found definitions (None: as the session has it).
     """
-    found = chain.join(members.distinct(), "ancestor")
+    found = (chain.repartition(parts, "ancestor") if parts else chain).join(members.distinct(), "ancestor")
     if parts:
         found = found.repartition(parts, "contract", "member")
     found = found.groupBy("contract", "member")

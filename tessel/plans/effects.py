@@ -63,9 +63,10 @@ def _(s):
 m AS (SELECT DISTINCT l_suppkey AS ancestor, 'm' || (l_partkey % 6) AS member FROM lineitem WHERE l_partkey % 5 = 0)
 SELECT contract, member, arg_min(ancestor, (place, ancestor)) AS owner, count(*) - 1 AS overridden FROM c JOIN m USING (ancestor) GROUP BY ALL""")
 def _(li):
-    chain = li.groupBy(F.col("l_orderkey").alias("contract"), F.col("l_suppkey").alias("ancestor")).agg(F.min("l_linenumber").alias("place"))
+    parts = parts_of(li)
+    chain = li.select("l_orderkey", "l_suppkey", "l_linenumber").repartition(parts, "l_orderkey").groupBy(F.col("l_orderkey").alias("contract"), F.col("l_suppkey").alias("ancestor")).agg(F.min("l_linenumber").alias("place"))
     members = li.where("l_partkey % 5 = 0").select(F.col("l_suppkey").alias("ancestor"), F.concat(F.lit("m"), (F.col("l_partkey") % 6).cast("string")).alias("member"))
-    return E.resolved_members(chain, members, parts_of(li))
+    return E.resolved_members(chain, members, parts)
 
 
 FITS = "SELECT l_suppkey AS k, l_linenumber % 3 AS f, min(l_quantity) AS a, max(l_tax) AS b, min(l_extendedprice) AS rmse, max(l_discount) * 10 AS confidence FROM lineitem GROUP BY l_suppkey, l_linenumber"
